@@ -21,7 +21,7 @@ MAX_GROUP_ROWS = 1_000_000
 MAX_BROADCAST_ROWS = 500_000
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int = 1,
              rank: str | None = None) -> DataFrame:
     """The first k rows of each key.
 
