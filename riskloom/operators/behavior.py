@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.numbers import DayWindow, ratio
-from riskloom.operators.contracts import RAW_TRANSACTIONS, TRANSACTION_BEHAVIOR, validate
+from riskloom.operators.contracts import RAW_TRANSACTIONS, TRANSACTION_BEHAVIOR, write_valid
 from riskloom.operators.currency import fill_usd_amount
 from riskloom.operators.scaling import MAX_GROUP_ROWS, exact_quantiles, latest_rows, oversized_groups, top_rows
-from riskloom.session import materialize
 
 # Metrics that are put on a 30-day scale, and metrics compared as they are.
 RATE_METRICS = ["num_transacciones", "monto_total_usd", "num_dias_activos", "num_productos", "num_tipos_transaccion",
@@ -162,18 +161,19 @@ def add_dominant_type(behavior: DataFrame, transactions: DataFrame) -> DataFrame
                              ratio(F.col("_count"), F.col("num_transacciones"))).drop("_count")
 
 
-def behavior_metrics(transactions: DataFrame, months: int | None = None, max_group_rows: int = MAX_GROUP_ROWS
-                     ) -> DataFrame:
+def behavior_metrics(transactions: DataFrame, months: int | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+                     rows: int | None = None) -> DataFrame:
     """All metrics from cleaned transactions (unique ids, USD amount filled).
 
-    `transactions` should be a written table: the size of the largest customer is looked up first.
+    `transactions` should be a written table: unless few `rows` are known, the largest customer is
+    looked up first.
     Counts and sums are combined in the map tasks, so a customer with very many rows only matters
     for the quantiles, which then go by rank.
     """
     prepared = calendar_columns(transactions.filter(
         F.col("customer_id").isNotNull() & F.col("transaction_date").isNotNull()))
     totals = {**count_metrics(), **amount_metrics(), **share_metrics()}
-    large, _ = oversized_groups(transactions, ["customer_id"], max_group_rows)
+    large, _ = oversized_groups(transactions, ["customer_id"], max_group_rows, rows)
     if large is None:
         totals |= {name: F.percentile("amount_usd", F.lit(p)) for name, p in QUANTILES.items()}
         behavior = aggregate(prepared, totals)
@@ -190,10 +190,10 @@ def build_transaction_behavior(transactions: DataFrame, window: DayWindow | None
 
     Without a window the period is taken from the data.
     """
-    cleaned = materialize(clean_amounts(transactions), "transactions")
-    valid, _ = validate(cleaned, RAW_TRANSACTIONS, mode="drop", known_unique=True)
-    metrics = behavior_metrics(valid, window.months_touched if window else None, max_group_rows)
-    return validate(materialize(metrics, "behavior"), TRANSACTION_BEHAVIOR, known_unique=True)[0]
+    valid, checked = write_valid(clean_amounts(transactions), RAW_TRANSACTIONS, "transactions", mode="drop")
+    months = window.months_touched if window else None
+    metrics = behavior_metrics(valid, months, max_group_rows, checked.rows_in)
+    return write_valid(metrics, TRANSACTION_BEHAVIOR, "behavior")[0]
 
 
 def normalize_period(behavior: DataFrame, period_days: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import DayWindow
 from riskloom.operators.scaling import MAX_GROUP_ROWS, latest_rows, running_before, union_all
-from riskloom.session import materialize
+from riskloom.session import materialize, materialize_counted
 
 # Rule scores that raise an alert.
 RULE_THRESHOLDS = (30, 60)
@@ -46,10 +46,11 @@ def ranking_metrics(data: DataFrame, score: str, weight: str | None = None, max_
     hit = F.col("has_fraud")
     steps = data.groupBy("window", F.col(score).alias("score")).agg(
         F.sum(F.when(hit, w).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("neg"))
-    steps = materialize(steps.select("window", F.col("score").isNull().cast("int").alias("missing"),
-                                     (-F.col("score").cast("double")).alias("down"), "pos", "neg"), "ranking")
+    steps, rows = materialize_counted(
+        steps.select("window", F.col("score").isNull().cast("int").alias("missing"),
+                     (-F.col("score").cast("double")).alias("down"), "pos", "neg"), "ranking")
     running = running_before(steps, ["window"], [F.col("missing"), F.coalesce("down", F.lit(0.0))],
-                             {"pos": F.col("pos"), "neg": F.col("neg")}, max_group_rows=max_group_rows)
+                             {"pos": F.col("pos"), "neg": F.col("neg")}, max_group_rows=max_group_rows, rows=rows)
     reached_pos, reached_neg = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     totals = running.groupBy("window").agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
@@ -94,11 +95,11 @@ def precision_at_k(data: DataFrame, score: str, ks: DataFrame, max_group_rows: i
     Missing scores rank last and ties go by customer id. The position of a row is a running count,
     so k may be large. k = 0 gives null. `ks` has a few rows per window.
     """
-    ordered = materialize(data.select("window", "customer_id", "has_fraud",
-                                      F.col(score).isNull().cast("int").alias("missing"),
-                                      F.coalesce(-F.col(score).cast("double"), F.lit(0.0)).alias("down")), "positions")
+    ordered, rows = materialize_counted(
+        data.select("window", "customer_id", "has_fraud", F.col(score).isNull().cast("int").alias("missing"),
+                    F.coalesce(-F.col(score).cast("double"), F.lit(0.0)).alias("down")), "positions")
     placed = running_before(ordered, ["window"], [F.col("missing"), F.col("down"), F.col("customer_id")],
-                            {"rows": F.lit(1)}, max_group_rows=max_group_rows)
+                            {"rows": F.lit(1)}, max_group_rows=max_group_rows, rows=rows)
     inside = placed.join(F.broadcast(ks), "window").filter(F.col("before_rows") < F.col("k"))
     found = inside.groupBy("window", "threshold").agg(
         F.bround(F.avg(F.col("has_fraud").cast("double")), 4).alias("precision_at_k"))

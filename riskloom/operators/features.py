@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import age_at
-from riskloom.operators.contracts import CUSTOMER_FEATURES, PRODUCT_TYPES, RAW_CUSTOMER_PRODUCTS, validate
+from riskloom.operators.contracts import CUSTOMER_FEATURES, PRODUCT_TYPES, RAW_CUSTOMER_PRODUCTS, write_valid
 from riskloom.operators.currency import add_usd_amounts
 from riskloom.operators.scaling import top_rows
-from riskloom.session import materialize
 
 # Product types that count as debt and as assets.
 DEBT_TYPES = ("Préstamo Hipotecario", "Préstamo Personal", "Tarjeta Crédito")
@@ -77,14 +76,12 @@ def derive_features(balances: DataFrame) -> DataFrame:
 def build_customer_features(users: DataFrame, as_of: dt.date | str, countries: DataFrame, rates: DataFrame) -> DataFrame:
     """The whole step, with its input contract (invalid rows leave) and its output contract.
 
-    Input and result are written once, because each contract reads its table before it is used.
+    Input and result are written once and checked while they are written.
     """
-    users = materialize(users, "customer-products")
-    users, _ = validate(users, RAW_CUSTOMER_PRODUCTS, mode="drop")
+    users, _ = write_valid(users, RAW_CUSTOMER_PRODUCTS, "customer-products", mode="drop")
     active = with_known_income(add_usd_amounts(active_customers(users), countries, rates))
     info = top_rows(active.select(*INFO_COLUMNS), ["customer_id"], [F.col(c) for c in INFO_COLUMNS[1:]])
     features = (info.join(derive_features(pivot_balances(active)), "customer_id")
                     .withColumn("Edad", age_at(F.col("date_of_birth").try_cast("date"), as_of))
                     .select(*FEATURE_COLUMNS))
-    features = materialize(features, "customer-features")
-    return validate(features, CUSTOMER_FEATURES, known_unique=True)[0]
+    return write_valid(features, CUSTOMER_FEATURES, "customer-features")[0]

@@ -40,12 +40,15 @@ def latest_rows(df: DataFrame, keys: Sequence[str], newest_by: str,
     return top_rows(df, keys, [F.col(newest_by).desc_nulls_last(), *tiebreak])
 
 
-def oversized_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS
+def oversized_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS, rows: int | None = None
                      ) -> tuple[DataFrame | None, int]:
     """Keys with more than `max_rows` rows and how many there are; (None, 0) when there are none.
 
-    One aggregation over the key columns only. The result has at most rows/max_rows entries.
+    One aggregation over the key columns only. The result has at most rows/max_rows entries. When
+    the number of `rows` is known and within the limit, no group can exceed it and nothing is run.
     """
+    if rows is not None and rows <= max_rows:
+        return None, 0
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     large = counts.filter(F.col("_rows") > max_rows)
     n = large.count()
@@ -59,12 +62,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_many(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame,
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Left join of a table that is unique on `key` with one where a key may be very frequent.
 
     Adaptive execution can split a frequent key on either side of an inner join but not on the
-    right side of a left join, so the unmatched rows are added by an anti join instead.
+    right side of a left join. When `sizes` (any frame with the keys of the right side) has such a
+    key, the unmatched rows are therefore added by an anti join instead.
     """
+    large, _ = oversized_groups(sizes, [key], max_group_rows)
+    if large is None:
+        return left.join(right, key, "left")
     matched = left.join(right, key, "inner")
     unmatched = left.join(right.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
@@ -127,12 +135,12 @@ def running_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                    sums: Mapping[str, Column], lasts: Mapping[str, Column] | None = None,
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   max_group_rows: int = MAX_GROUP_ROWS, rows: int | None = None) -> DataFrame:
     """Running values before each row, choosing the form by the size of the largest group.
 
-    `df` should be cheap to read twice (a written table or a small aggregate): it is counted first.
+    `df` should be cheap to read twice: unless few `rows` are known, its groups are counted first.
     """
-    large, _ = oversized_groups(df, keys, max_group_rows)
+    large, _ = oversized_groups(df, keys, max_group_rows, rows)
     form = running_in_task if large is None else running_in_chunks
     return form(df, keys, order, sums, lasts)
 
@@ -171,13 +179,13 @@ def quantiles_by_rank(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Mapping[str, float], max_group_rows: int = MAX_GROUP_ROWS
-                    ) -> DataFrame:
+                    probabilities: Mapping[str, float], max_group_rows: int = MAX_GROUP_ROWS,
+                    rows: int | None = None) -> DataFrame:
     """Exact quantiles per group; oversized groups go by rank, the others in a task.
 
     `df` should be cheap to read more than once.
     """
-    large, n = oversized_groups(df, keys, max_group_rows)
+    large, n = oversized_groups(df, keys, max_group_rows, rows)
     if large is None:
         return quantiles_in_task(df, keys, value, probabilities)
     marker = small_side(large.select(*keys), n)

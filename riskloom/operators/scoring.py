@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.contracts import BEHAVIOR_SCORES, CLUSTER_PROFILES, CUSTOMER_SCORES, validate
-from riskloom.operators.scaling import MAX_GROUP_ROWS, exact_quantiles
-from riskloom.session import materialize
+from riskloom.operators.contracts import BEHAVIOR_SCORES, CLUSTER_PROFILES, CUSTOMER_SCORES, validate, write_valid
+from riskloom.operators.scaling import MAX_GROUP_ROWS, exact_quantiles, oversized_groups
+from riskloom.session import materialize, materialize_counted
 
 # Scored metrics, limit of a usual deviation, and factors from MAD and IQR to a
 # standard deviation.
@@ -20,6 +20,7 @@ SUSPICIOUS_DEVIATION = 3.0
 MAD_TO_STD, IQR_TO_STD = 1.4826, 1.349
 DEFAULT_MIN_SUSPICIOUS = 4
 
+QUARTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
 PROFILE_COLUMNS = ["cluster", "feature", "count", "mean", "median", "p25", "p75", "p95", "mad"]
 DETAIL_COLUMNS = ["customer_id", "cluster", "feature", "value", "cluster_median", "cluster_p25", "cluster_p75",
                   "deviation_score", "is_suspicious"]
@@ -42,17 +43,20 @@ def cluster_profiles(behavior: DataFrame, clusters: DataFrame, metrics: Sequence
     """
     keys = ["cluster", "feature"]
     values = long_behavior(behavior, clusters, metrics).filter(F.col("value").isNotNull()).drop("customer_id")
-    values = materialize(values, "profile-values")
-    totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"))
-    quantiles = exact_quantiles(values, keys, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95},
-                                max_group_rows)
-    # One row per cluster and metric: small by construction, and read three times below.
-    centers = materialize(totals.join(quantiles, keys), "profile-centers")
+    values, rows = materialize_counted(values, "profile-values")
+    large, _ = oversized_groups(values, keys, max_group_rows, rows)
+    totals = {"count": F.count(F.lit(1)), "mean": F.avg("value")}
+    if large is None:
+        totals |= {n: F.percentile("value", F.lit(p)) for n, p in QUARTILES.items()}
+    centers = values.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+    if large is not None:
+        centers = centers.join(exact_quantiles(values, keys, "value", QUARTILES, max_group_rows), keys)
+    # One row per cluster and metric: small by construction.
+    centers = materialize(centers, "profile-centers")
     distances = values.join(F.broadcast(centers.select(*keys, "median")), keys).select(
         *keys, F.abs(F.col("value") - F.col("median")).alias("distance"))
-    spread = exact_quantiles(distances, keys, "distance", {"mad": 0.5}, max_group_rows)
-    profiles = materialize(centers.join(spread, keys).select(*PROFILE_COLUMNS), "profiles")
-    return validate(profiles, CLUSTER_PROFILES)[0]
+    spread = exact_quantiles(distances, keys, "distance", {"mad": 0.5}, max_group_rows, rows)
+    return write_valid(centers.join(spread, keys).select(*PROFILE_COLUMNS), CLUSTER_PROFILES, "profiles")[0]
 
 
 def robust_deviation(value: Column, median: Column, mad: Column, p25: Column, p75: Column) -> Column:
@@ -102,10 +106,8 @@ def score_customers(behavior: DataFrame, clusters: DataFrame, profiles: DataFram
                     ) -> tuple[DataFrame, DataFrame]:
     """(detail, summary) with their contracts; the detail is written once for both."""
     validate(profiles, CLUSTER_PROFILES)
-    detail = materialize(score_detail(behavior, clusters, profiles, metrics), "score-detail")
-    detail, _ = validate(detail, BEHAVIOR_SCORES, known_unique=True)
-    summary = materialize(score_summary(detail, metrics), "score-summary")
-    summary, _ = validate(summary, CUSTOMER_SCORES, known_unique=True)
+    detail, _ = write_valid(score_detail(behavior, clusters, profiles, metrics), BEHAVIOR_SCORES, "score-detail")
+    summary, _ = write_valid(score_summary(detail, metrics), CUSTOMER_SCORES, "score-summary")
     return detail, summary
 
 

@@ -27,7 +27,7 @@ def recent_behavior(t: BankTables, window=RECENT):
 
 def _totals(t: BankTables, *groups):
     prepared = B.calendar_columns(cleaned(t))
-    return rounded(B.aggregate(prepared, {name: c for g in groups for name, c in g.items()}))
+    return rounded(B.aggregate(prepared, {name: c for g in groups for name, c in g.items()}), 8)
 
 
 @query("select_window", f"""
@@ -81,7 +81,7 @@ def behavior_counts(t: BankTables):
 
 @query("behavior_amounts", """
 SELECT customer_id, monto_total_usd, monto_promedio_usd, monto_mediano_usd, monto_maximo_usd, monto_p95_usd, monto_std_usd
-FROM recent_totals""", rounds=BEHAVIOR_DOUBLES[:6])
+FROM recent_totals""", rounds=BEHAVIOR_DOUBLES[:6], digits=8)
 def behavior_amounts(t: BankTables):
     quantiles = {n: F.percentile("amount_usd", F.lit(p)) for n, p in B.QUANTILES.items()}
     return _totals(t, B.amount_metrics(), quantiles)
@@ -90,7 +90,7 @@ def behavior_amounts(t: BankTables):
 @query("behavior_shares", """
 SELECT customer_id, porcentaje_fin_semana, porcentaje_nocturnas, tasa_aprobacion, porcentaje_amount_usd_faltante
 FROM recent_totals""",
-       rounds=BEHAVIOR_DOUBLES[6:10])
+       rounds=BEHAVIOR_DOUBLES[6:10], digits=8)
 def behavior_shares(t: BankTables):
     return _totals(t, B.share_metrics())
 
@@ -127,9 +127,9 @@ def dominant_type(t: BankTables):
 FULL = "customer_id, " + ", ".join(B.BEHAVIOR_COLUMNS[1:])
 
 
-@query("build_transaction_behavior", f"SELECT {FULL} FROM history_behavior", rounds=BEHAVIOR_DOUBLES)
+@query("build_transaction_behavior", f"SELECT {FULL} FROM history_behavior", rounds=BEHAVIOR_DOUBLES, digits=8)
 def build_transaction_behavior(t: BankTables):
-    return rounded(B.build_transaction_behavior(transactions_in_window(t.transactions, HISTORY), HISTORY))
+    return rounded(B.build_transaction_behavior(transactions_in_window(t.transactions, HISTORY), HISTORY), 8)
 
 
 @query("normalize_behavior_period", f"SELECT customer_id, {', '.join(MONTHLY_DOUBLES)} FROM baseline_behavior",
@@ -140,9 +140,9 @@ def normalize_behavior_period(t: BankTables):
 
 
 @query("window_behavior", f"SELECT {FULL}, {', '.join(MONTHLY_DOUBLES)} FROM recent_behavior",
-       rounds=BEHAVIOR_DOUBLES + MONTHLY_DOUBLES)
+       rounds=BEHAVIOR_DOUBLES + MONTHLY_DOUBLES, digits=8)
 def window_behavior(t: BankTables):
-    return rounded(recent_behavior(t))
+    return rounded(recent_behavior(t), 8)
 
 
 # Yearly figures of a second source with a long history: orders as transactions, one row per order.

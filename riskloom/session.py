@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
 
@@ -56,3 +57,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_folder(df.sparkSession), "riskloom", f"{label}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`materialize` that also returns aggregates of the rows, taken while they are written.
+
+    The measures are observed in the tasks of the write itself, so they cost no pass of their own
+    and count every row once, also when tasks are repeated.
+    """
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), label)
+    return table, seen.get
+
+
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    table, seen = materialize_measured(df, label, rows=F.count(F.lit(1)))
+    return table, seen["rows"]

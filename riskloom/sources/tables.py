@@ -47,7 +47,8 @@ def customers_with_products(customers: DataFrame, products: DataFrame) -> DataFr
 
     Not sorted: callers that show the rows order them by customer and product.
     """
-    joined = left_join_many(customers_latest(customers), products_latest(products), "customer_id")
+    joined = left_join_many(customers_latest(customers), products_latest(products), "customer_id",
+                            products.select("customer_id"))
     return joined.select(*CUSTOMER_COLUMNS, "product_id", "product_type", "currency", "current_balance")
 
 
@@ -86,7 +87,7 @@ def read_users(customers: DataFrame, products: DataFrame, customer_ids: DataFram
     """
     people = read_customers(customers, customer_ids, limit)
     owned = products.select(*PRODUCT_COLUMNS, "credit_limit")
-    return left_join_many(people, owned, "customer_id")
+    return left_join_many(people, owned, "customer_id", products.select("customer_id"))
 
 
 def read_transactions(transactions: DataFrame, customer_ids: DataFrame | None = None,
