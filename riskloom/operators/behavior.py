@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from riskloom.functions.numbers import DayWindow, ratio
 from riskloom.operators.contracts import RAW_TRANSACTIONS, TRANSACTION_BEHAVIOR, write_valid
 from riskloom.operators.currency import fill_usd_amount
-from riskloom.operators.scaling import MAX_GROUP_ROWS, exact_quantiles, latest_rows, oversized_groups, top_rows
+from riskloom.operators.scaling import (MAX_GROUP_ROWS, latest_rows, oversized_groups, quantiles_by_rank, small_side,
+                                        top_rows)
 
 # Metrics that are put on a 30-day scale, and metrics compared as they are.
 RATE_METRICS = ["num_transacciones", "monto_total_usd", "num_dias_activos", "num_productos", "num_tipos_transaccion",
@@ -69,10 +70,11 @@ def clean_amounts(transactions: DataFrame) -> DataFrame:
 
 
 def calendar_columns(transactions: DataFrame) -> DataFrame:
-    """Hour, weekday (Monday is 0), weekend, night, month and approval of every transaction."""
+    """Hour, weekday (Monday is 0), weekend, night, day, month and approval of every transaction."""
     moment = F.col("transaction_date")
     hour, weekday = F.hour(moment), F.weekday(moment)
     return transactions.withColumns({
+        "transaction_day": moment.cast("date"),
         "transaction_hour": hour,
         "transaction_weekday": weekday,
         "is_weekend": weekday >= 5,
@@ -86,18 +88,22 @@ def _share(flag: str) -> Column:
     return F.avg(F.col(flag).cast("double"))
 
 
-def count_metrics() -> dict[str, Column]:
-    """Distinct counts. Transactions are unique on their id here, so they are simply counted."""
-    return {
-        "num_transacciones": F.count("transaction_id"),
-        "num_dias_activos": F.countDistinct(F.col("transaction_date").cast("date")),
-        "num_meses_activos": F.countDistinct("transaction_month"),
-        "num_productos": F.countDistinct("product_id"),
-        "num_tipos_transaccion": F.countDistinct("transaction_type"),
-        "num_monedas": F.countDistinct("currency"),
-        "num_paises_transaccion": F.countDistinct("transaction_country"),
-        "num_ciudades_transaccion": F.countDistinct("transaction_city"),
-    }
+DISTINCT_METRICS = {"num_dias_activos": "transaction_day", "num_meses_activos": "transaction_month",
+                    "num_productos": "product_id", "num_tipos_transaccion": "transaction_type", "num_monedas": "currency",
+                    "num_paises_transaccion": "transaction_country", "num_ciudades_transaccion": "transaction_city"}
+
+
+def count_metrics(by_sets: bool = False) -> dict[str, Column]:
+    """Distinct counts. Transactions are unique on their id here, so they are simply counted.
+
+    The sets of a customer of ordinary size are counted in one pass. `countDistinct` expands the
+    rows once per column, but its state is shuffled by value, so no task holds the set of one customer.
+    """
+    def distinct(column: str) -> Column:
+        return F.size(F.collect_set(column)).cast("bigint") if by_sets else F.countDistinct(column)
+
+    return {"num_transacciones": F.count("transaction_id"),
+            **{name: distinct(column) for name, column in DISTINCT_METRICS.items()}}
 
 
 def amount_metrics() -> dict[str, Column]:
@@ -124,12 +130,6 @@ def aggregate(transactions: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return transactions.groupBy("customer_id").agg(*[c.alias(n) for n, c in metrics.items()])
 
 
-def amount_quantiles(transactions: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Exact median and 95th percentile of the USD amount per customer."""
-    return exact_quantiles(transactions.select("customer_id", "amount_usd"), ["customer_id"], "amount_usd", QUANTILES,
-                           max_group_rows)
-
-
 def frequency_metrics(behavior: DataFrame, months: int | Column) -> DataFrame:
     """Transactions per month of the period, per active month and per active day."""
     n = F.col("num_transacciones")
@@ -167,18 +167,24 @@ def behavior_metrics(transactions: DataFrame, months: int | None = None, max_gro
 
     `transactions` should be a written table: unless few `rows` are known, the largest customer is
     looked up first.
-    Counts and sums are combined in the map tasks, so a customer with very many rows only matters
-    for the quantiles, which then go by rank.
+    Sums are combined in the map tasks whatever the size of a customer. Sets and quantiles are built in
+    a task for ordinary customers only; for the others distinct values are shuffled and quantiles go by rank.
     """
     prepared = calendar_columns(transactions.filter(
         F.col("customer_id").isNotNull() & F.col("transaction_date").isNotNull()))
-    totals = {**count_metrics(), **amount_metrics(), **share_metrics()}
-    large, _ = oversized_groups(transactions, ["customer_id"], max_group_rows, rows)
+    others = {**amount_metrics(), **share_metrics()}
+    in_task = {name: F.percentile("amount_usd", F.lit(p)) for name, p in QUANTILES.items()}
+    large, n = oversized_groups(transactions, ["customer_id"], max_group_rows, rows)
     if large is None:
-        totals |= {name: F.percentile("amount_usd", F.lit(p)) for name, p in QUANTILES.items()}
-        behavior = aggregate(prepared, totals)
+        behavior = aggregate(prepared, {**count_metrics(by_sets=True), **others, **in_task})
     else:
-        behavior = aggregate(prepared, totals).join(amount_quantiles(prepared, max_group_rows), "customer_id")
+        marker = small_side(large.select("customer_id"), n)
+        heavy = prepared.join(marker, "customer_id", "left_semi")
+        usual = prepared.join(marker, "customer_id", "left_anti")
+        by_rank = aggregate(heavy, {**count_metrics(), **others}).join(
+            quantiles_by_rank(heavy.select("customer_id", "amount_usd"), ["customer_id"], "amount_usd", QUANTILES),
+            "customer_id")
+        behavior = aggregate(usual, {**count_metrics(by_sets=True), **others, **in_task}).unionByName(by_rank)
     period = months_in_data(prepared).scalar() if months is None else F.lit(months)
     behavior = add_dominant_type(frequency_metrics(behavior, period), prepared)
     return behavior.select(*BEHAVIOR_COLUMNS)

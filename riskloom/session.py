@@ -25,6 +25,10 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
+        # Recording the call site of every column expression takes longer than planning the queries.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Aggregates with small buffers per customer stay in the hash map instead of sorting.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         **conf,
     }
     for key, value in settings.items():
