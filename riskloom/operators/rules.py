@@ -305,7 +305,8 @@ def reasons(usd: bool, settings: RuleSettings = DEFAULTS) -> Column:
 def apply_rules(facts: DataFrame, usd: bool, scale: Column, settings: RuleSettings = DEFAULTS,
                 keep_hits: bool = False) -> DataFrame:
     """rule_score, model_score, score, level and reasons of every row."""
-    model = F.bround(F.least(F.col("model_score") * scale, F.lit(100.0)), 1)
+    known = F.col("model_score").isNotNull()       # least() would turn a missing score into 100
+    model = F.when(known, F.bround(F.least(F.col("model_score") * scale, F.lit(100.0)), 1))
     scored = rule_hits(facts, settings).withColumns({"rule_score": rule_score(settings), "model_score": model})
     scored = scored.withColumn("score", F.greatest(F.col("rule_score").cast("double"),
                                                    F.coalesce("model_score", F.lit(0.0))))

@@ -40,7 +40,7 @@ SELECT concat('T', lpad(cast(event_id as string), 12, '0')) AS transaction_id,
             ELSE 'Approved' END AS transaction_status,
        CASE WHEN event_type = 'error' THEN '51' ELSE '00' END AS response_code,
        event_id % 211 = 0 AS is_fraud,
-       cast((event_id * 37) % 100 as double) AS fraud_score,
+       CASE WHEN event_id % 61 = 0 THEN NULL ELSE cast((event_id * 37) % 100 as double) END AS fraud_score,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast((event_id * 37) % 160 - 80 as double) / 2 END AS latitude,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast((event_id * 53) % 360 - 180 as double) / 2 END AS longitude,
        'events.parquet' AS filename,

@@ -224,7 +224,7 @@ SELECT *, coalesce(amt_n >= 5 AND amt_std > 0 AND (amount_usd - amt_mean) / amt_
        coalesce(located AND travel_km >= 300 AND (travel_hours <= 0 OR travel_km / travel_hours > 900), false) AS hit_travel
 FROM rule_moves""")
 view("rule_points", """
-SELECT * REPLACE (round_even(least(model_score, 100), 1) AS model_score), cast(least(100, hit_amount::INT * 40
+SELECT * REPLACE (CASE WHEN model_score IS NOT NULL THEN round_even(least(model_score, 100), 1) END AS model_score), cast(least(100, hit_amount::INT * 40
        + hit_country::INT * 30 + hit_city::INT * 15 + hit_category::INT * 10 + hit_night::INT * 15 + hit_burst::INT * 25
        + hit_declines::INT * 20 + hit_travel::INT * 35) AS INT) AS rule_score FROM rule_hits""")
 REASONS = ", ".join([

@@ -46,7 +46,7 @@ def window_labels(t: BankTables):
 # Ranking metrics over single transactions: a window per country and a score with many equal values and some nulls.
 view("ranked_transactions", """
 SELECT transaction_country AS window, transaction_id AS customer_id, is_fraud AS has_fraud,
-       CASE WHEN fraud_score < 10 THEN NULL ELSE floor(fraud_score / 3) + amount / 1000 END AS score, 1.0 + (fraud_score % 3) AS weight
+       CASE WHEN fraud_score < 10 THEN NULL ELSE floor(fraud_score / 3) + amount / 1000 END AS score, 1.0 + (coalesce(fraud_score, 0) % 3) AS weight
 FROM transactions QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date DESC) = 1""")
 
 
@@ -54,7 +54,7 @@ def ranked_transactions(t: BankTables):
     score = F.when(F.col("fraud_score") >= 10, F.floor(F.col("fraud_score") / 3) + F.col("amount") / 1000)
     rows = dedup_transactions(t.transactions).select(
         F.col("transaction_country").alias("window"), F.col("transaction_id").alias("customer_id"),
-        F.col("is_fraud").alias("has_fraud"), score.alias("score"), (F.col("fraud_score") % 3 + 1.0).alias("weight"))
+        F.col("is_fraud").alias("has_fraud"), score.alias("score"), (F.coalesce("fraud_score", F.lit(0.0)) % 3 + 1.0).alias("weight"))
     return materialize(rows, "ranked")
 
 

@@ -53,13 +53,13 @@ def activity(ids, start, days, per_day=0.3, amount=50.0, seed=0, tag=""):
 
 def frame(spark, table):
     """A Spark frame; missing values become null and times have no zone."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-    df = spark.createDataFrame(table.astype(object).where(table.notna(), None).to_dict("records"), schema_of(table))
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.TimestampType):
-            df = df.withColumn(f.name, F.col(f.name).cast("timestamp_ntz"))
-    return df
+    def plain(value):
+        if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+            return None
+        return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value.item() if isinstance(value, np.generic) else value
+
+    rows = [tuple(plain(v) for v in row) for row in table.itertuples(index=False)]
+    return spark.createDataFrame(rows, schema_of(table))
 
 
 def schema_of(table):
