@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import analysis as A
 from riskloom.operators import cases as K
 from riskloom.operators import routing as G
+from riskloom.operators.scaling import top_rows
 from riskloom.plans.bridge import BankTables
 from riskloom.plans.catalog.common import ANALYSIS_DAYS, normalized
 from riskloom.plans.catalog.registry import query, rounded, view
@@ -96,18 +97,21 @@ def open_case_by_phone(t: BankTables):
     return K.open_case_by_phone(existing_cases(t))
 
 
+view("first_ids", """
+SELECT customer, id FROM scored_tx WHERE id LIKE '%5' QUALIFY row_number() OVER (PARTITION BY customer ORDER BY id) <= 5""")
 # Requests of every kind: flagged by the model, by the rules only, and with given transactions.
 view("case_requests", """
 SELECT customer_id, CASE WHEN substr(customer_id, 9, 1) IN ('1', '4', '7') THEN 'risk_engine' ELSE 'anomaly_model' END AS source,
-       anomaly_score, (SELECT string_agg(id, ',' ORDER BY id) FROM scored_tx s WHERE s.customer = customer_id
-                       AND substr(customer_id, 9, 1) = '3' AND s.id LIKE '%5') AS transaction_ids FROM requested""")
+       anomaly_score, (SELECT string_agg(id, ',' ORDER BY id) FROM first_ids s WHERE s.customer = customer_id
+                       AND substr(customer_id, 9, 1) = '3') AS transaction_ids FROM requested""")
 PICK_SCORE = 60       # a stricter limit than the default, so that some customers fall back to their top three
 PICK_SETTINGS = replace(SETTINGS, suspicious=PICK_SCORE)
 
 
 def requests(t: BankTables, rows):
-    listed = (rows.filter((F.substring("customer", 9, 1) == "3") & F.col("id").endswith("5")).groupBy("customer")
-                  .agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("transaction_ids")))
+    named = rows.filter((F.substring("customer", 9, 1) == "3") & F.col("id").endswith("5")).select("customer", "id")
+    listed = top_rows(named, ["customer"], ["id"], 5).groupBy("customer").agg(
+        F.array_join(F.array_sort(F.collect_list("id")), ",").alias("transaction_ids"))
     wanted = K.pending_queue(case_queue(t), 100)
     source = F.when(F.substring("customer_id", 9, 1).isin("1", "4", "7"), "risk_engine").otherwise("anomaly_model")
     return wanted.join(listed.withColumnRenamed("customer", "customer_id"), "customer_id", "left").select(

@@ -46,9 +46,9 @@ def joined(df):
 
 
 @query("cluster_profiles", f"SELECT {', '.join(S.PROFILE_COLUMNS)} FROM profiles",
-       rounds=["mean", "median", "p25", "p75", "p95", "mad"])
+       rounds=["mean", "median", "p25", "p75", "p95", "mad"], digits=8)
 def cluster_profiles(t: BankTables):
-    return rounded(profiles(t))
+    return rounded(profiles(t), 8)
 
 
 @query("robust_deviation", """

@@ -6,7 +6,6 @@ import json
 import os
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import normalize_key
@@ -130,16 +129,13 @@ def score_scale(t: BankTables):
 
 
 @query("tx_history", """
-SELECT id, customer, timestamp, amount, amount_usd, status,
-       row_number() OVER (PARTITION BY customer ORDER BY timestamp, id) AS position
+SELECT id, customer, timestamp, amount, amount_usd, status
 FROM (SELECT * REPLACE (CASE WHEN id LIKE '%77' THEN NULL ELSE timestamp END AS timestamp) FROM tx_history_rows)
 WHERE timestamp IS NOT NULL""")
 def tx_history(t: BankTables):
     rows = logical.logical_transactions(t.transactions).withColumn(
         "timestamp", F.when(~F.col("id").like("%77"), F.col("timestamp")))
-    order = Window.partitionBy("customer").orderBy("timestamp", "id")
-    return logical.history(rows).select("id", "customer", "timestamp", "amount", "amount_usd", "status",
-                                        F.row_number().over(order).alias("position"))
+    return logical.history(rows).select("id", "customer", "timestamp", "amount", "amount_usd", "status")
 
 
 @query("profile_latest", """
