@@ -30,7 +30,9 @@ CARD_MASK = "•••• $1$2$3$4"
 
 def strip_accents(text: Column) -> Column:
     """Plain letters for accented ones; what still is not ASCII (combining marks) is removed."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    plain = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    # As many bytes as characters: nothing to replace.
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)
 
 
 def normalize_key(text: Column) -> Column:

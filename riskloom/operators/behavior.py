@@ -191,12 +191,14 @@ def behavior_metrics(transactions: DataFrame, months: int | None = None, max_gro
 
 
 def build_transaction_behavior(transactions: DataFrame, window: DayWindow | None,
-                               max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                               max_group_rows: int = MAX_GROUP_ROWS, unique: bool = False) -> DataFrame:
     """Clean, check, aggregate and check again. No transactions give no rows.
 
-    Without a window the period is taken from the data.
+    Without a window the period is taken from the data. `unique` spares the sort for transactions
+    that come from the reader with one row per id.
     """
-    valid, checked = write_valid(clean_amounts(transactions), RAW_TRANSACTIONS, "transactions", mode="drop")
+    cleaned = fill_usd_amount(transactions) if unique else clean_amounts(transactions)
+    valid, checked = write_valid(cleaned, RAW_TRANSACTIONS, "transactions", mode="drop")
     months = window.months_touched if window else None
     metrics = behavior_metrics(valid, months, max_group_rows, checked.rows_in)
     return write_valid(metrics, TRANSACTION_BEHAVIOR, "behavior")[0]
@@ -215,7 +217,8 @@ def profile_metrics(columns: Iterable[str]) -> list[str]:
     return [m for m in [*(f"{r}_monthly" for r in RATE_METRICS), *PLAIN_METRICS] if m in known]
 
 
-def window_behavior(transactions: DataFrame, window: DayWindow, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def window_behavior(transactions: DataFrame, window: DayWindow, max_group_rows: int = MAX_GROUP_ROWS,
+                    unique: bool = False) -> DataFrame:
     """Select the window, aggregate and put the rates on a 30-day scale."""
-    behavior = build_transaction_behavior(select_window(transactions, window), window, max_group_rows)
+    behavior = build_transaction_behavior(select_window(transactions, window), window, max_group_rows, unique)
     return normalize_period(behavior, window.days)

@@ -22,7 +22,7 @@ def cleaned(t: BankTables, window=RECENT):
 
 
 def recent_behavior(t: BankTables, window=RECENT):
-    return B.window_behavior(transactions_in_window(t.transactions, window), window)
+    return B.window_behavior(transactions_in_window(t.transactions, window), window, unique=True)
 
 
 def _totals(t: BankTables, *groups):
@@ -129,13 +129,13 @@ FULL = "customer_id, " + ", ".join(B.BEHAVIOR_COLUMNS[1:])
 
 @query("build_transaction_behavior", f"SELECT {FULL} FROM history_behavior", rounds=BEHAVIOR_DOUBLES, digits=8)
 def build_transaction_behavior(t: BankTables):
-    return rounded(B.build_transaction_behavior(transactions_in_window(t.transactions, HISTORY), HISTORY), 8)
+    return rounded(B.build_transaction_behavior(transactions_in_window(t.transactions, HISTORY), HISTORY, unique=True), 8)
 
 
 @query("normalize_behavior_period", f"SELECT customer_id, {', '.join(MONTHLY_DOUBLES)} FROM baseline_behavior",
        rounds=MONTHLY_DOUBLES)
 def normalize_behavior_period(t: BankTables):
-    behavior = B.build_transaction_behavior(transactions_in_window(t.transactions, BASELINE), BASELINE)
+    behavior = B.build_transaction_behavior(transactions_in_window(t.transactions, BASELINE), BASELINE, unique=True)
     return rounded(B.normalize_period(behavior, BASELINE.days).select("customer_id", *MONTHLY_DOUBLES))
 
 

@@ -98,7 +98,7 @@ def train(inputs: BankInputs, as_of: dt.date | str, components: int = clustering
 
     window = history_window(as_of, months)
     transactions = transactions_in_window(inputs.transactions, window, assigned)
-    behavior = window_behavior(transactions, window)
+    behavior = window_behavior(transactions, window, unique=True)
     metrics = profile_metrics(behavior.columns)
     profiles = scoring.cluster_profiles(behavior, assigned, metrics)
     activity = clustering.cluster_activity(assigned, behavior)
@@ -163,7 +163,7 @@ def score_as_of(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str,
     features = inputs.features(as_of)
     clusters = materialize(clustering.assign_clusters(model.pipeline, features, checked=True), "clusters")
     _, recent = recent_and_baseline(as_of, recent_days=recent_days)
-    behavior = window_behavior(transactions_in_window(inputs.transactions, recent, clusters), recent)
+    behavior = window_behavior(transactions_in_window(inputs.transactions, recent, clusters), recent, unique=True)
     detail, summary = scoring.score_customers(behavior, clusters, model.profiles, metrics)
     return ScoringResult(as_of, model.metadata["model_version"], clusters, detail, summary, list(metrics), started)
 
