@@ -51,6 +51,8 @@ class RuleSettings:
     # Customers with more transactions than this leave the window functions: the running median of
     # an ordinary customer costs time with the square of its history.
     large_customer: int = 2_000
+    # Rows of a large customer that one share of the median count should hold.
+    rows_per_share: int = 200_000
 
 
 DEFAULTS = RuleSettings()
@@ -133,24 +135,25 @@ def _first_occurrences(rows: DataFrame) -> DataFrame:
     return stacked.groupBy("id").agg(*[F.max(f"new_{n}").alias(f"new_{n}") for n in ("country", "city", "category")])
 
 
-def _above_prior_median(rows: DataFrame, largest: int, settings: RuleSettings) -> DataFrame:
+def _above_prior_median(rows: DataFrame, settings: RuleSettings) -> DataFrame:
     """(id, above_median) for the rows that start a category, the only rows that need it.
 
     The median is not built: the amount exceeds it exactly when enough earlier amounts are smaller,
     and in the one open case (an even number split in half) the two middle amounts decide. Each
     task counts over its share of the history, so only one row per candidate and task is shuffled.
-    The shares are cut by a hash of the id, so that a large customer is spread over many tasks.
+    The shares are cut by a hash of the id and grow with the customer, so that a hot customer is
+    spread over many tasks and a smaller one is not multiplied.
     """
+    shares = F.floor(F.col("_size") / settings.rows_per_share).cast("int") + 1
     candidates = (rows.filter(present(F.col("category")) & F.col("_amt").isNotNull())
-                      .groupBy("customer", "category").agg(F.min(F.struct("_us", "id", "_amt")).alias("c")))
+                      .groupBy("customer", "category", "_size").agg(F.min(F.struct("_us", "id", "_amt")).alias("c")))
     # A category may start with a row without amount; such a row is no candidate and must not hide
     # behind a later one, so candidates are matched with the real first occurrences afterwards.
-    shares = max(1, min(4096, largest // 200_000 + 1))
     spread = candidates.select("customer", F.col("c.id").alias("cid"), F.col("c._us").alias("c_us"),
                                F.col("c._amt").alias("c_amt"),
-                               F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+                               F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     prior = rows.filter(F.col("_amt").isNotNull()).select(
-        "customer", "id", "_us", "_amt", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"))
+        "customer", "id", "_us", "_amt", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"))
     pairs = prior.join(spread, ["customer", "share"]).filter(F.struct("_us", "id") < F.struct("c_us", "cid"))
     below = F.col("_amt") < F.col("c_amt")
     counted = pairs.groupBy(F.col("cid").alias("id"), "c_amt").agg(
@@ -162,7 +165,7 @@ def _above_prior_median(rows: DataFrame, largest: int, settings: RuleSettings) -
     return counted.select("id", above.alias("above_median"))
 
 
-def _facts_large(rows: DataFrame, customers: int, largest: int, settings: RuleSettings) -> DataFrame:
+def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> DataFrame:
     """The same facts for customers of any size, without bringing a customer into one task.
 
     * Running counts and sums: rows range-partitioned by (customer, time), scanned in chunks.
@@ -172,7 +175,7 @@ def _facts_large(rows: DataFrame, customers: int, largest: int, settings: RuleSe
     * Median: see `_above_prior_median`.
     """
     per_customer = rows.groupBy("customer").agg(
-        F.avg("_amt").alias("_level"), F.max("_timed").alias("has_time"), F.max("timestamp").alias("customer_last"))
+        F.count(F.lit(1)).alias("_size"), F.avg("_amt").alias("_level"), F.max("_timed").alias("has_time"), F.max("timestamp").alias("customer_last"))
     # Written once: the scan, the first occurrences and the median all read it. Amounts are taken
     # relative to the customer's mean so that the running squares keep their precision.
     rows = materialize(rows.join(small_side(per_customer, customers), "customer"), "large-customers")
@@ -203,7 +206,7 @@ def _facts_large(rows: DataFrame, customers: int, largest: int, settings: RuleSe
         (value(at_row, "declined") - value(at_probe, "declined")).alias("recent_declines"),
         value(at_row, "point").alias("_last"))
     firsts = _first_occurrences(rows)
-    medians = _above_prior_median(rows, largest, settings)
+    medians = _above_prior_median(rows, settings)
     mean = ratio(F.col("_s"), F.col("amt_n"))
     variance = ratio(F.col("_q"), F.col("amt_n")) - mean * mean
     no = F.lit(False)
@@ -214,7 +217,7 @@ def _facts_large(rows: DataFrame, customers: int, largest: int, settings: RuleSe
                               "above_median": F.coalesce("above_median", no),
                               "last_lat": F.col("_last.lat"), "last_lon": F.col("_last.lon"),
                               "last_us": F.col("_last._us")})
-                .drop("_last", "_s", "_q", "_level"))
+                .drop("_last", "_s", "_q", "_level", "_size"))
 
 
 def history_facts(history_rows: DataFrame, usd: bool, settings: RuleSettings = DEFAULTS,
@@ -230,10 +233,9 @@ def history_facts(history_rows: DataFrame, usd: bool, settings: RuleSettings = D
     passed_on = [*prepared.columns, *FACTS]
     if large is None:
         return _facts_ordinary(prepared, settings).select(*passed_on)
-    largest = large.agg(F.max("_rows")).first()[0]
     keys = small_side(large.select("customer"), n)
     ordinary = _facts_ordinary(prepared.join(keys, "customer", "left_anti"), settings)
-    heavy = _facts_large(prepared.join(keys, "customer", "left_semi"), n, largest, settings)
+    heavy = _facts_large(prepared.join(keys, "customer", "left_semi"), n, settings)
     return ordinary.select(*passed_on).unionByName(heavy.select(*passed_on))
 
 

@@ -86,7 +86,7 @@ RULES = ["amount", "country", "city", "category", "night", "burst", "declines",
 @pytest.mark.parametrize("burst", [10, 60])
 def test_rules_equal_brute_force(spark, large_customer, burst):
     rows = histories()
-    settings = replace(R.DEFAULTS, burst_minutes=burst, large_customer=large_customer)
+    settings = replace(R.DEFAULTS, burst_minutes=burst, large_customer=large_customer, rows_per_share=25)
     scored = R.score_transactions(spark.createDataFrame(rows, SCHEMA), settings, keep_hits=True)
     got = {r["id"]: {name for name in RULES if r[f"hit_{name}"]} for r in scored.collect()}
     expected = brute_force(rows, burst)
