@@ -79,7 +79,7 @@ def _spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while front and len(left):
             at = front.pop()
             near = np.bitwise_count(values[left] ^ values[at]) <= radius
-            found += [(int(values[at]), int(values[x])) for x in left[near]]
+            found += [(_signed(int(values[at])), _signed(int(values[x]))) for x in left[near]]
             front += list(left[near])
             left = left[~near]
     return found
@@ -106,7 +106,7 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {pair for (members,) in arrow_rows(batch, "members")
-                     for pair in _spanning(np.array(members, np.int64), radius)}
+                     for pair in _spanning(np.array(members, np.int64).view(np.uint64), radius)}
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
