@@ -37,10 +37,27 @@ def item_windows(complaints: DataFrame, complaint_id: str, description: str) ->
                 .select("complaint_id", F.slice("w", F.col("s"), F.lit(WINDOW)).alias("window")).distinct())
 
 
-def _stream(transcripts: DataFrame, *keep: str) -> DataFrame:
-    """One row per word of each transcript (word, at), and one row with the null word per transcript."""
-    rows = transcripts.select(*keep, F.posexplode(F.concat(F.col("words"), F.array(F.lit(None).cast("string")))).alias("at", "raw"))
-    return rows.withColumn("word", lower_ascii(F.col("raw"))).drop("raw")
+BLOCK = 64
+NOTHING = ""            # stands for a transcript itself among its words
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """The words of each transcript in blocks with the words around them (so that what a row carries
+    has a fixed size): `first` is the place of the block, `low` that of its array's first word."""
+    first = lambda b: b * BLOCK                                                          # noqa: E731
+    low = lambda b: F.greatest(first(b) - (WINDOW - 1), F.lit(0))                        # noqa: E731
+    own = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / BLOCK).cast("int"), F.lit(1)) - 1), lambda b: F.struct(
+        first(b).alias("first"), low(b).alias("low"),
+        F.concat(F.slice("words", low(b) + 1, first(b) - low(b) + BLOCK + WINDOW - 1),
+                 F.when(b == 0, F.array(F.lit(NOTHING))).otherwise(F.array().cast("array<string>"))).alias("near")))
+    return texts.select("transcript_id", "text_key", F.size("words").alias("n_words"), F.inline(own))
+
+
+def _stream(blocks: DataFrame) -> DataFrame:
+    """One row per word (word, at), and one row with NOTHING per transcript."""
+    rows = blocks.select("*", F.posexplode("near").alias("place", "raw"))
+    rows = rows.withColumns({"word": lower_ascii(F.col("raw")), "at": F.col("low") + F.col("place")})
+    return rows.filter((F.col("raw") == NOTHING) | ((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + BLOCK))).drop("raw", "place")
 
 
 def contamination(transcripts: DataFrame, complaints: DataFrame, transcript_id: str = "transcript_id",
@@ -65,24 +82,25 @@ def contamination(transcripts: DataFrame, complaints: DataFrame, transcript_id:
     texts = only(transcripts, transcript_id=transcript_id, full_text=full_text).select(
         "transcript_id", F.xxhash64("full_text").alias("text_key"), words_of(F.col("full_text")).alias("words"))
 
-    seen = _stream(texts).join(small_side(words, n_words), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    blocks = _blocks(texts)
+    seen = _stream(blocks).join(small_side(words, n_words), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarity = words.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     windows = items.groupBy("window").agg(F.array_sort(F.collect_set(F.col("complaint_id").cast("string"))).alias("items"))
     placed = windows.select("window", "items", F.posexplode("window").alias("offset", "word")).join(rarity, "word")
     prefix = placed.groupBy("window").agg(F.min(F.struct("n", "word", "offset")).alias("rarest"), F.first("items").alias("items"))
-    prefix, n_prefix = materialize_counted(
-        prefix.select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), "window", "items"), "prefix")
+    prefix = prefix.select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), "window", "items")
+    own = transcripts.sparkSession.range(1).select(
+        F.lit(NOTHING).alias("word"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
+    prefix, n_prefix = materialize_counted(prefix.unionByName(own), "prefix")
 
     size = F.size("window")
     start = F.col("at") - F.col("offset")
-    total = F.size("words")
-    met = _stream(texts, "transcript_id", "text_key", "words").join(
-        small_side(prefix.withColumn("present", F.lit(True)), n_prefix).alias("p"), "word", "left")
-    fits = (start >= 0) & (start + size <= total) & (
-        F.transform(F.slice("words", F.greatest(start, F.lit(0)) + 1, size), lower_ascii) == F.col("window"))
-    found = met.filter(F.col("word").isNull() | F.when(F.col("present"), fits).otherwise(False)).select(
-        "transcript_id", "text_key", total.alias("n_words"), F.col("word").isNull().alias("own"),
-        F.when(F.col("word").isNotNull(), F.struct(start.alias("from"), (start + size).alias("to"))).alias("span"), "items")
+    met = _stream(blocks).join(small_side(prefix, n_prefix), "word")
+    fits = (start >= 0) & (start + size <= F.col("n_words")) & (
+        F.transform(F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, size), lower_ascii) == F.col("window"))
+    found = met.filter((F.col("word") == NOTHING) | fits).select(
+        "transcript_id", "text_key", "n_words", (F.col("word") == NOTHING).alias("own"),
+        F.when(F.col("word") != NOTHING, F.struct(start.alias("from"), (start + size).alias("to"))).alias("span"), "items")
     grouped = found.groupBy("transcript_id", "text_key", "n_words").agg(
         F.count_if("own").alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))

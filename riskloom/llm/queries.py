@@ -48,7 +48,7 @@ def mix_columns() -> dict:
 
 
 def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MIX_WEIGHTS, "main_topics string, detected_language string, transcription_model string, weight bigint")
+    return spark.sql(f"SELECT * FROM VALUES {_weights_sql()} v(main_topics, detected_language, transcription_model, weight)")
 
 
 def _share_sql(level: str, parents: str, name: str) -> str:

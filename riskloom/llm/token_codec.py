@@ -61,16 +61,18 @@ def encode_blocks(places: np.ndarray, freq: np.ndarray) -> list[tuple[int, np.nd
     state = np.full((blocks, LANES), LOW, np.uint64)
     words = np.zeros(steps.shape, np.uint32)
     sent = np.zeros(steps.shape, bool)
+    sizes = [min(BLOCK, n - b * BLOCK) for b in range(blocks)]
     for t in range(BLOCK // LANES - 1, -1, -1):
-        symbol = steps[:, t]
+        used = blocks if sizes[-1] > t * LANES else blocks - 1          # only the last block may be shorter
+        symbol, now = steps[:used, t], state[:used]
         f = freq[symbol]
-        over = state >= limit[symbol]
-        words[:, t] = state & np.uint64(0xFFFFFFFF)
-        sent[:, t] = over
-        state = np.where(over, state >> np.uint64(32), state)
-        quotient = state // f
-        state = (quotient << np.uint64(SCALE)) + (state - quotient * f) + start[symbol]
-    return [(min(BLOCK, n - b * BLOCK), state[b], words[b][sent[b]]) for b in range(blocks)]
+        over = now >= limit[symbol]
+        words[:used, t] = now & np.uint64(0xFFFFFFFF)
+        sent[:used, t] = over
+        now = np.where(over, now >> np.uint64(32), now)
+        quotient = now // f
+        state[:used] = (quotient << np.uint64(SCALE)) + (now - quotient * f) + start[symbol]
+    return [(sizes[b], state[b], words[b][sent[b]]) for b in range(blocks)]
 
 
 def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], freq: np.ndarray) -> list[np.ndarray]:
@@ -86,12 +88,14 @@ def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], freq: np.nda
     ends = np.cumsum(lengths)
     at = ends - lengths
     out = np.empty((len(blocks), BLOCK // LANES, LANES), np.int32)
+    sizes = np.array([n for n, _, _ in blocks])[:, None]
     for t in range(BLOCK // LANES):
+        active = sizes > t * LANES
         slot = state & np.uint64((1 << SCALE) - 1)
         symbol = symbols[slot]
         out[:, t] = symbol
-        state = freq[symbol] * (state >> np.uint64(SCALE)) + slot - start[symbol]
-        need = state < LOW
+        state = np.where(active, freq[symbol] * (state >> np.uint64(SCALE)) + slot - start[symbol], state)
+        need = (state < LOW) & active
         order = np.cumsum(need, axis=1)
         place = np.minimum(at[:, None] + order - 1, len(words) - 1)
         state = np.where(need, state << np.uint64(32) | words[np.maximum(place, 0)], state)

@@ -245,7 +245,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     strong = counts.withColumns({"gain": gain, "weight": weight}).filter(
         (F.col("gain") > 2 * math.log(max(total, 2)) + 6) & (F.col("weight") > 1.5))
-    rows = strong.orderBy(F.col("gain").desc(), F.length("term").desc(), "term").limit(MAX_TERMS).collect()
+    rows = strong.orderBy(F.col("gain").desc(), F.length(F.regexp_replace("term", r"\*$", "")).desc(), "term").limit(MAX_TERMS).collect()
     kept: dict[str, tuple[float, int]] = {}
     for r in rows:
         term, toxic = r["term"], r["t"]
