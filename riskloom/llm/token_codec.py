@@ -15,27 +15,30 @@ Segment, little-endian, followed by a line feed:
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.frames import read_files, write_frames
 from riskloom.llm.texts import arrow_rows, only
+from riskloom.session import materialize
 
 MAGIC = b"RTS1"
-SCALE = 22
+SCALE = 18
 LANES = 32
 BLOCK = 1 << 15
 SEGMENT = 1 << 22
 LOW = np.uint64(1 << 31)
 END_ID = 0
-SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 # ---------------------------------------------------------------- the coder
@@ -48,6 +51,17 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return scaled
 
 
+def used_symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids in order, the place of each id among them, and their counts."""
+    if int(ids.max(initial=0)) >= 1 << SCALE:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[ids], counts[symbols]
+
+
 def encode_blocks(places: np.ndarray, freq: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(ids, states, words) of each block of the symbol places; blocks do not depend on each other."""
     n = len(places)
@@ -110,7 +124,7 @@ def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], freq: np.nda
 
 def pack_segment(names: list[bytes | None], sizes: list[int], starts: list[bool], ids: np.ndarray) -> bytes:
     """names and sizes of the transcripts (or parts of them, starts false for a further part)."""
-    symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, places, counts = used_symbols(ids)
     freq = frequencies(counts)
     blocks = encode_blocks(places, freq)
     parts = [struct.pack("<IIII", len(names), len(ids), len(symbols), len(blocks))]
@@ -166,45 +180,78 @@ def read_segments(content: bytes) -> Iterator[tuple[list, list[int], list[bool],
 
 # ---------------------------------------------------------------- tokenizer
 
+ADJACENT = re.compile(r"\s\s")
+# The letters by which byte-level tokenizers name bytes: the visible ones by themselves, the others by
+# the letters from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+SPACE = chr(BYTE_LETTERS[0x20])
+
+
 class ChunkTokenizer:
     """Ids of a text by a byte-level BPE tokenizer, with the ids of frequent chunks kept.
 
     The tokenizer splits a text where a word is followed by a blank and never looks across, so a text
-    whose blanks stand alone can be cut before each space and the ids of the chunks joined. All other
-    texts (blanks in a row, special strings) go to the tokenizer as a whole.
+    whose blanks stand alone can be cut before each space and around each line feed and the ids of the chunks joined; likewise
+    a comma or full stop after letters is a token of its own. All other texts (blanks in a row, special
+    strings) go to the tokenizer as a whole. Kept chunks that are not met again are forgotten.
     """
 
     KEPT = 400_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")        # Spark deals out the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_word(self, word: str) -> bytes:
+        """Letters, with a space before them or not, are one piece to the tokenizer: its model alone gives the ids."""
+        named = word.replace(" ", SPACE) if word.isascii() else word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        known, older, fresh = self.known, self.older, []
+        for chunk in missing:
+            if chunk in older:
+                known[chunk] = older[chunk]
+            else:
+                fresh.append(chunk)
+        ended = {c for c in fresh if c[-1] in ",." and c[:-1].strip(" ").isalpha()}
+        plain = {c for c in fresh if c not in ended}
+        plain.update(p for c in ended for p in (c[:-1], c[-1]) if p not in known)
+        words = {c for c in plain if c.removeprefix(" ").isalpha()}
+        known.update((c, self._encode_word(c)) for c in words)
+        listed = [c for c in plain if c not in words]
+        known.update(zip(listed, self._encode(listed)))
+        for chunk in ended:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
+        if len(self.known) > self.KEPT:
+            self.known, self.older = {}, self.known
+        self.known.setdefault("", b"")
+        get, cut, missing = self.known.get, [], set()
         for text in texts:
-            if any(s in text for s in self.special) or _adjacent_blanks(text):
+            if ADJACENT.search(text) or any(s in text for s in self.special):
                 cut.append(None)
                 continue
-            head, *tail = text.split(" ")
-            cut.append(([head] if head else []) + [" " + t for t in tail])
-        if len(self.known) > self.KEPT:
-            self.known = {}
-        missing = list({c for chunks in cut if chunks for c in chunks} - self.known.keys())
-        self.known.update(zip(missing, self._encode(missing)))
-        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else next(whole) for chunks in cut]
-
-
-def _adjacent_blanks(text: str) -> bool:
-    import re
-    return re.search(r"[\s\x1c-\x1f\x85]{2}", text) is not None
+            chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            found = list(map(get, chunks))
+            if None in found:
+                missing.update([c for c, ids in zip(chunks, found) if ids is None])
+                found = None
+            cut.append((chunks, found))
+        if missing:
+            self._learn(missing)
+        whole, item = iter(self._encode([t for t, c in zip(texts, cut) if c is None])), self.known.__getitem__
+        return [next(whole) if c is None else b"".join(map(item, c[0]) if c[1] is None else c[1]) for c in cut]
 
 
 @lru_cache(maxsize=2)
@@ -282,11 +329,8 @@ def read_token_files(spark, path: str, id_type: str = "bigint") -> DataFrame:
                 if rows:
                     yield _token_rows(name, rows)
 
-    found = read_files(spark, path).mapInArrow(run, "file string, transcript_id string, within bigint, n_tokens bigint, ids_crc32 bigint")
-    from riskloom.session import materialize
-    found = materialize(found, "tokens")
+    found = materialize(read_files(spark, path).mapInArrow(run, "file string, transcript_id string, within bigint, n_tokens bigint, ids_crc32 bigint"), "tokens")
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    from pyspark.sql import Window
     before = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("file", before.alias("offset"))
     return found.join(offsets, "file").select(F.col("transcript_id").cast(id_type).alias("transcript_id"),

@@ -48,7 +48,7 @@ def test_damage_is_noticed():
 
 def test_chunks_give_the_ids_of_whole_texts():
     rng = random.Random(2)
-    parts = ["a", "Hola", "don't", "it's", "'ll", " ", "  ", "\n", " \n", "\t", " ", " ", "\x1c", "\x85", "12", "3.4", "!!", "ñandú", "漢字", "\U0001F600", "<|endoftext|>", "é"]
+    parts = ["a", "Hola", "don't", "it's", "'ll", " ", "  ", "\n", " \n", "\t", " ", " ", "\x1c", "\x85", "12", "3.4", "!!", "ñandú", "漢字", "Straße,", "ǅ.", "ʰx", "ª", "ⅷ", "e\u0301", "\U0001F600", "<|endoftext|>", "é"]
     texts = ["", " ", "a ", " a", "a  b", "a\n b", "a \nb"] + ["".join(rng.choice(parts + [" "] * 12) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
     whole = Tokenizer.from_file(PATH)
     coder = codec.ChunkTokenizer(PATH)
