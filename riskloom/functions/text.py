@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,26 +12,40 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def _plain_letters() -> dict[str, str]:
-    """Letters whose compatibility decomposition is one ASCII character plus marks."""
+    """Every character that is not ASCII and whose compatibility decomposition has ASCII characters."""
     table = {}
-    for code in range(0x80, 0x1F00):
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
+        if plain:
             table[chr(code)] = plain
     return table
 
 
 _LETTERS = _plain_letters()
-ACCENTED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+_SINGLE = {letter: plain for letter, plain in _LETTERS.items() if len(plain) == 1}
+ACCENTED, PLAIN = "".join(_SINGLE), "".join(_SINGLE.values())
+# Ligatures, fractions, roman numerals and the like, by what they stand for.
+SEVERAL: dict[str, str] = {}
+for _letter, _plain in _LETTERS.items():
+    if len(_plain) > 1:
+        SEVERAL[_plain] = SEVERAL.get(_plain, "") + _letter
+_ANY_OF_SEVERAL = "[" + "".join(SEVERAL.values()) + "]"
 
 # 13 to 19 digits with single blanks or hyphens between them.
 CARD_NUMBER = r"\b(?:\d[ -]?){9,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)\b"
 CARD_MASK = "•••• $1$2$3$4"
 
 
+def _several() -> Column:
+    return F.from_json(F.lit(json.dumps({c: plain for plain, letters in SEVERAL.items() for c in letters})), "map<string,string>")
+
+
 def strip_accents(text: Column) -> Column:
-    """Plain letters for accented ones; what still is not ASCII (combining marks) is removed."""
-    plain = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Plain letters for accented ones, several where one letter stands for several; what still is not
+    ASCII (combining marks) is removed."""
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(_several(), c), c)), "")
+    spelt = F.when(text.rlike(_ANY_OF_SEVERAL), spelt).otherwise(text)
+    plain = F.regexp_replace(F.translate(spelt, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
     # As many bytes as characters: nothing to replace.
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)
 

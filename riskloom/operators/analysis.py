@@ -152,7 +152,7 @@ def alert_text(top: DataFrame, profiles: DataFrame, message: str, bank_name: str
     body = F.when(bare != "", bare).otherwise(body)
     text = F.concat_ws(
         "\n", F.concat(F.lit("Hola "), first, F.lit(",")), F.lit(""),
-        F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1_000_000)), F.lit(""),
+        F.concat(F.upper(F.substring(body, 1, 1)), F.substr(body, F.lit(2))), F.lit(""),
         F.lit("Transacciones en revisión:"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(""),
         F.lit(f"Si no reconoces estas transacciones, bloquea tu tarjeta desde la app o comunícate con la línea "
               f"oficial de {bank_name}."),

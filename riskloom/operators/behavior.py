@@ -200,7 +200,7 @@ def build_transaction_behavior(transactions: DataFrame, window: DayWindow | None
     cleaned = fill_usd_amount(transactions) if unique else clean_amounts(transactions)
     valid, checked = write_valid(cleaned, RAW_TRANSACTIONS, "transactions", mode="drop")
     months = window.months_touched if window else None
-    metrics = behavior_metrics(valid, months, max_group_rows, checked.rows_in)
+    metrics = behavior_metrics(valid, months, max_group_rows, checked.seen)
     return write_valid(metrics, TRANSACTION_BEHAVIOR, "behavior")[0]
 
 

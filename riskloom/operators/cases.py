@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from riskloom.session import materialize
 OPEN_STATUSES = ("otp_sent", "verified", "customer_reported_fraud", "escalated")
 CLOSED_STATUS = "closed"
 FIRST_STATUS = "otp_sent"
-DEMO_SOURCE = "demo"
+DEMO_SOURCE = "public_demo"
 MODEL_SOURCES = ("anomaly_model", DEMO_SOURCE)
 CUSTOMER_FLAGGED = "Cliente marcado por el modelo de detección de anomalías"
 TRANSACTION_FLAGGED = "Marcada por el modelo de detección de anomalías del banco"
@@ -25,9 +26,6 @@ REASONS_LENGTH = 2000
 FALLBACK_TRANSACTIONS = 3
 QUEUE_LIMIT = 50
 
-# Ids are joined into one text only up to this many; the linked table always has all of them.
-MAX_JOINED_IDS = 10_000
-
 
 def pending_queue(queue: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
     """Pending customers with their highest score, in the order of their ids."""
@@ -38,8 +36,11 @@ def pending_queue(queue: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
 
 def queue_state(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The queue with what became of each row. Both tables are only ever appended to."""
-    done = outcomes.select("customer_id", "detected_at", "model_name", "processed_at", "case_id", "result")
-    return queue.join(done, ["customer_id", "detected_at", "model_name"], "left")
+    keys = ["customer_id", "detected_at", "model_name"]
+    first = F.min(F.struct("processed_at", "case_id", "result")).alias("_done")
+    done = outcomes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first)     # one per key, also after a repeated run
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return queue.join(done, same, "left").select(*queue.columns, "_done.*")
 
 
 def open_case_lookup(cases: DataFrame) -> DataFrame:
@@ -86,18 +87,16 @@ def case_identifier(opened: dt.date | str) -> Column:
     return F.concat(F.lit("CASE-"), F.upper(F.left(F.md5(F.concat(F.col("customer_id"), F.lit(f"#{opened}"))), F.lit(12))))
 
 
-def case_rows(picked: DataFrame, max_joined_ids: int = MAX_JOINED_IDS) -> DataFrame:
+def case_rows(picked: DataFrame) -> DataFrame:
     """One row per customer with a case: highest score, explanations and transaction ids.
 
     Explanations are made distinct before they are collected, and no more of them than can fit the
-    fixed length of the text. Ids are joined for cases with at most `max_joined_ids` transactions;
-    a longer list stays in the linked table only and the text is null.
+    fixed length of the text. The joined ids have all transactions, in their order; the linked table
+    has them as rows.
     """
     keys = ["customer_id", "source"]
     totals = picked.groupBy(*keys).agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("n_transactions"))
-    short = totals.filter(F.col("n_transactions") <= max_joined_ids).select(*keys)
-    ids = picked.join(short, keys, "left_semi").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("position", "id"))).alias("_ids"))
+    ids = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("_ids"))
     texts = picked.select(*keys, F.explode("reasons").alias("reason")).distinct()
     # A reason and its separator take at least four characters.
     first = top_rows(texts, keys, [F.col("reason")], REASONS_LENGTH // 4 + 1)
@@ -118,15 +117,18 @@ def contact_resolution(profiles: DataFrame, mapped: DataFrame | None = None, def
     With a contact map (demonstration mode): the mapped contact, then the default. Without: the
     customer's own, where a phone must be in international form.
     """
-    result = profiles.select("customer_id", F.col("email").alias("_own_email"), F.col("phone").alias("_own_phone"))
+    def given(name: str) -> Column:
+        return F.nullif(F.col(name), F.lit(""))       # a blank contact is none
+
+    result = profiles.select("customer_id", given("email").alias("_own_email"), F.col("phone").alias("_own_phone"))
     if explicit is not None:
-        result = result.join(explicit.select("customer_id", F.col("email").alias("_email"),
-                                             F.col("whatsapp").alias("_whatsapp")), "customer_id", "left")
+        result = result.join(explicit.select("customer_id", given("email").alias("_email"),
+                                             given("whatsapp").alias("_whatsapp")), "customer_id", "left")
     else:
         result = result.withColumns({"_email": F.lit(None).cast("string"), "_whatsapp": F.lit(None).cast("string")})
     if mapped is not None:
-        result = result.join(mapped.select("customer_id", F.col("email").alias("_mapped_email"),
-                                           F.col("whatsapp").alias("_mapped_whatsapp")), "customer_id", "left")
+        result = result.join(mapped.select("customer_id", given("email").alias("_mapped_email"),
+                                           given("whatsapp").alias("_mapped_whatsapp")), "customer_id", "left")
         email = F.coalesce("_email", "_mapped_email", F.lit(default_email).cast("string"))
         whatsapp = F.coalesce("_whatsapp", "_mapped_whatsapp", F.lit(default_whatsapp).cast("string"))
     else:
@@ -192,12 +194,21 @@ def links_from_text(cases: DataFrame) -> DataFrame:
         "case_id", "transaction_id", F.col("position").cast("bigint").alias("position"))
 
 
+def current_cases(cases: DataFrame, updates: DataFrame) -> DataFrame:
+    """The cases in their present state: as opened, or as the appended updates left them."""
+    state = case_status_fold(updates).select(
+        "case_id", F.col("status").alias("_status"), F.col("customer_comment").alias("_comment"), F.col("updated_at").alias("_at"))
+    return cases.join(state, "case_id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "customer_comment": F.coalesce("_comment", "customer_comment"),
+        "updated_at": F.greatest("_at", "updated_at")}).select(*cases.columns)
+
+
 def case_status_fold(events: DataFrame) -> DataFrame:
     """Current state of every case from appended updates (case_id, at, status, comment).
 
     The last status wins, and the last comment that is not null stays.
     """
     return events.groupBy("case_id").agg(
-        F.max_by("status", "at").alias("status"),
-        F.max_by("comment", F.when(F.col("comment").isNotNull(), F.col("at"))).alias("customer_comment"),
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.struct("at", "status"))).alias("status"),
+        F.max_by("comment", F.when(F.col("comment").isNotNull(), F.struct("at", "comment"))).alias("customer_comment"),
         F.max("at").alias("updated_at"))

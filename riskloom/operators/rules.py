@@ -124,19 +124,19 @@ def _facts_ordinary(rows: DataFrame, settings: RuleSettings) -> DataFrame:
 
 
 def _first_occurrences(rows: DataFrame) -> DataFrame:
-    """Transaction ids that are the first of their country, city or category for the customer."""
+    """Rows that are the first of their country, city or category for the customer."""
     def firsts(name: str) -> DataFrame:
         first = (rows.filter(present(F.col(name))).groupBy("customer", name)
-                     .agg(F.min(F.struct("_us", "id")).alias("f")))
-        return first.select(F.col("f.id").alias("id"),
+                     .agg(F.min(F.struct("_us", "id", "_row")).alias("f")))
+        return first.select(F.col("f._row").alias("_row"),
                             *[F.lit(other == name).alias(f"new_{other}") for other in ("country", "city", "category")])
 
     stacked = firsts("country").unionByName(firsts("city")).unionByName(firsts("category"))
-    return stacked.groupBy("id").agg(*[F.max(f"new_{n}").alias(f"new_{n}") for n in ("country", "city", "category")])
+    return stacked.groupBy("_row").agg(*[F.max(f"new_{n}").alias(f"new_{n}") for n in ("country", "city", "category")])
 
 
 def _above_prior_median(rows: DataFrame, settings: RuleSettings) -> DataFrame:
-    """(id, above_median) for the rows that start a category, the only rows that need it.
+    """(_row, above_median) for the rows that start a category, the only rows that need it.
 
     The median is not built: the amount exceeds it exactly when enough earlier amounts are smaller,
     and in the one open case (an even number split in half) the two middle amounts decide. Each
@@ -146,23 +146,24 @@ def _above_prior_median(rows: DataFrame, settings: RuleSettings) -> DataFrame:
     """
     shares = F.floor(F.col("_size") / settings.rows_per_share).cast("int") + 1
     candidates = (rows.filter(present(F.col("category")) & F.col("_amt").isNotNull())
-                      .groupBy("customer", "category", "_size").agg(F.min(F.struct("_us", "id", "_amt")).alias("c")))
+                      .groupBy("customer", "category", "_size").agg(F.min(F.struct("_us", "id", "_row", "_amt")).alias("c")))
     # A category may start with a row without amount; such a row is no candidate and must not hide
     # behind a later one, so candidates are matched with the real first occurrences afterwards.
-    spread = candidates.select("customer", F.col("c.id").alias("cid"), F.col("c._us").alias("c_us"),
+    spread = candidates.select("customer", F.col("c._row").alias("c_row"), F.col("c.id").alias("cid"), F.col("c._us").alias("c_us"),
                                F.col("c._amt").alias("c_amt"),
                                F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     prior = rows.filter(F.col("_amt").isNotNull()).select(
-        "customer", "id", "_us", "_amt", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"))
-    pairs = prior.join(spread, ["customer", "share"]).filter(F.struct("_us", "id") < F.struct("c_us", "cid"))
+        "customer", "id", "_row", "_us", "_amt", F.pmod(F.xxhash64("_row"), shares).cast("int").alias("share"))
+    pairs = prior.join(spread, ["customer", "share"]).filter(
+        F.struct("_us", "id", "_row") < F.struct(F.col("c_us").alias("_us"), F.col("cid").alias("id"), F.col("c_row").alias("_row")))
     below = F.col("_amt") < F.col("c_amt")
-    counted = pairs.groupBy(F.col("cid").alias("id"), "c_amt").agg(
+    counted = pairs.groupBy(F.col("c_row").alias("_row"), "c_amt").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(below).alias("below"),
         F.max(F.when(below, F.col("_amt"))).alias("lower"), F.min(F.when(~below, F.col("_amt"))).alias("upper"))
     half = F.floor(F.col("n") / 2)
     split = (F.col("n") % 2 == 0) & (F.col("below") == half)
     above = F.when(split, F.col("c_amt") > (F.col("lower") + F.col("upper")) / 2).otherwise(F.col("below") > half)
-    return counted.select("id", above.alias("above_median"))
+    return counted.select("_row", above.alias("above_median"))
 
 
 def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> DataFrame:
@@ -171,35 +172,41 @@ def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> Dat
     * Running counts and sums: rows range-partitioned by (customer, time), scanned in chunks.
     * Bursts: every row also sends a probe to the start of its look-back time; the running count at
       the row minus the one at the probe is the number of transactions in between.
-    * First occurrences: the minimum per value, matched back by transaction id.
+    * First occurrences: the minimum per value, matched back by row.
+    * A deviation of zero is found by counting: no earlier amount differs from the customer's first.
     * Median: see `_above_prior_median`.
     """
     per_customer = rows.groupBy("customer").agg(
-        F.count(F.lit(1)).alias("_size"), F.avg("_amt").alias("_level"), F.max("_timed").alias("has_time"), F.max("timestamp").alias("customer_last"))
+        F.count(F.lit(1)).alias("_size"), F.avg("_amt").alias("_level"),
+        F.min_by("_amt", F.when(F.col("_amt").isNotNull(), F.struct("_us", "id"))).alias("_first"), F.max("_timed").alias("has_time"), F.max("timestamp").alias("customer_last"))
     # Written once: the scan, the first occurrences and the median all read it. Amounts are taken
     # relative to the customer's mean so that the running squares keep their precision.
-    rows = materialize(rows.join(small_side(per_customer, customers), "customer"), "large-customers")
+    # Rows get a key of their own, since transaction ids may be missing.
+    rows = materialize(rows.join(small_side(per_customer, customers), "customer").withColumn("_row", F.monotonically_increasing_id()),
+                       "large-customers")
     shifted = F.col("_amt") - F.col("_level")
     zero, nothing = F.lit(0), F.lit(None)
     point = F.when(F.col("_located"), F.struct("lat", "lon", "_us"))
-    own = rows.select("customer", F.col("_us").alias("_at"), F.lit(1).alias("_kind"), "id",
+    own = rows.select("customer", F.col("_us").alias("_at"), F.lit(1).alias("_kind"), "id", "_row",
                       F.lit(1).alias("v_n"), F.col("_amt").isNotNull().cast("int").alias("v_amt"),
+                      F.coalesce(F.col("_amt") != F.col("_first"), F.lit(False)).cast("int").alias("v_other"),
                       F.coalesce(shifted, F.lit(0.0)).alias("v_sum"),
                       F.coalesce(shifted * shifted, F.lit(0.0)).alias("v_squares"),
                       F.col("_night").alias("v_night"), F.col("_declined").alias("v_declined"), point.alias("v_point"))
-    probes = rows.select("customer", (F.col("_us") - _burst_us(settings)).alias("_at"), F.lit(0).alias("_kind"), "id",
-                         zero.alias("v_n"), zero.alias("v_amt"), F.lit(0.0).alias("v_sum"),
+    probes = rows.select("customer", (F.col("_us") - _burst_us(settings)).alias("_at"), F.lit(0).alias("_kind"), "id", "_row",
+                         zero.alias("v_n"), zero.alias("v_amt"), zero.alias("v_other"), F.lit(0.0).alias("v_sum"),
                          F.lit(0.0).alias("v_squares"), zero.alias("v_night"), zero.alias("v_declined"),
                          nothing.cast(own.schema["v_point"].dataType).alias("v_point"))
-    sums = {n: F.col(f"v_{n}") for n in ("n", "amt", "sum", "squares", "night", "declined")}
-    scan = running_in_chunks(own.unionByName(probes), ["customer"], [F.col("_at"), F.col("_kind"), F.col("id")],
+    sums = {n: F.col(f"v_{n}") for n in ("n", "amt", "other", "sum", "squares", "night", "declined")}
+    scan = running_in_chunks(own.unionByName(probes), ["customer"], [F.col("_at"), F.col("_kind"), F.col("id"), F.col("_row")],
                              sums, {"point": F.col("v_point")})
     at_row, at_probe = F.col("_kind") == 1, F.col("_kind") == 0
 
     def value(kind: Column, name: str) -> Column:
         return F.max(F.when(kind, F.col(f"before_{name}")))
 
-    facts = scan.groupBy("id").agg(
+    facts = scan.groupBy("_row").agg(
+        value(at_row, "other").alias("_other"),
         value(at_row, "n").alias("prior_n"), value(at_row, "amt").alias("amt_n"), value(at_row, "sum").alias("_s"),
         value(at_row, "squares").alias("_q"), value(at_row, "night").alias("night_prior"),
         (value(at_row, "n") - value(at_probe, "n")).alias("recent_n"),
@@ -210,14 +217,17 @@ def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> Dat
     mean = ratio(F.col("_s"), F.col("amt_n"))
     variance = ratio(F.col("_q"), F.col("amt_n")) - mean * mean
     no = F.lit(False)
-    return (rows.join(facts, "id").join(firsts, "id", "left").join(medians, "id", "left")
-                .withColumns({"amt_std": F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))), "amt_mean": mean + F.col("_level"),
+    constant = F.col("_other") == 0
+    deviation = F.when(variance.isNotNull(), F.when(constant, F.lit(0.0)).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
+    level = F.when(mean.isNotNull(), F.when(constant, F.col("_first")).otherwise(mean + F.col("_level")))
+    return (rows.join(facts, "_row").join(firsts, "_row", "left").join(medians, "_row", "left")
+                .withColumns({"amt_std": deviation, "amt_mean": level,
                               "new_country": F.coalesce("new_country", no), "new_city": F.coalesce("new_city", no),
                               "new_category": F.coalesce("new_category", no),
                               "above_median": F.coalesce("above_median", no),
                               "last_lat": F.col("_last.lat"), "last_lon": F.col("_last.lon"),
                               "last_us": F.col("_last._us")})
-                .drop("_last", "_s", "_q", "_level", "_size"))
+                .drop("_last", "_s", "_q", "_level", "_size", "_first", "_other", "_row"))
 
 
 def history_facts(history_rows: DataFrame, usd: bool, settings: RuleSettings = DEFAULTS,

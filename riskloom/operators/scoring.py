@@ -106,8 +106,8 @@ def score_customers(behavior: DataFrame, clusters: DataFrame, profiles: DataFram
                     ) -> tuple[DataFrame, DataFrame]:
     """(detail, summary) with their contracts; the detail is written once for both."""
     validate(profiles, CLUSTER_PROFILES)
-    detail, _ = write_valid(score_detail(behavior, clusters, profiles, metrics), BEHAVIOR_SCORES, "score-detail")
-    summary, _ = write_valid(score_summary(detail, metrics), CUSTOMER_SCORES, "score-summary")
+    detail, _ = write_valid(score_detail(behavior, clusters, profiles, metrics), BEHAVIOR_SCORES, "score-detail", known_unique=False)
+    summary, _ = write_valid(score_summary(detail, metrics), CUSTOMER_SCORES, "score-summary", known_unique=False)
     return detail, summary
 
 

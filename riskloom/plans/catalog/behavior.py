@@ -18,7 +18,7 @@ from riskloom.sources.tables import transactions_in_window
 def cleaned(t: BankTables, window=RECENT):
     """Unique, complete and valid transactions of a window."""
     rows = B.clean_amounts(transactions_in_window(t.transactions, window))
-    return C.valid_rows(rows, C.Contract("", C.RAW_TRANSACTIONS.fields))
+    return C.valid_rows(rows, C.RAW_TRANSACTIONS.rows_only())
 
 
 def recent_behavior(t: BankTables, window=RECENT):

@@ -47,7 +47,7 @@ def case_queue(t: BankTables):
 view("existing_cases", """
 SELECT 'OLD-' || c_custkey || '-' || v AS case_id, concat('C', lpad(cast(c_custkey AS VARCHAR), 8, '0')) AS customer_id,
        TIMESTAMP '2024-01-01' + to_days(cast((c_custkey + v * 3) % 20 AS INT)) AS created_at,
-       CASE WHEN (c_custkey + v) % 9 = 0 THEN 'demo' ELSE 'anomaly_model' END AS source,
+       CASE WHEN (c_custkey + v) % 9 = 0 THEN 'public_demo' ELSE 'anomaly_model' END AS source,
        CASE (c_custkey + v) % 7 WHEN 0 THEN 'otp_sent' WHEN 1 THEN 'verified' WHEN 2 THEN 'escalated' ELSE 'closed' END AS status,
        '+57300' || (c_custkey % 40) AS contact_whatsapp
 FROM (SELECT c_custkey, 0 AS v FROM customer WHERE c_custkey % 5 = 0 UNION ALL
@@ -64,7 +64,7 @@ def existing_cases(t: BankTables):
         F.concat(F.lit("OLD-"), key.cast("string"), F.lit("-"), v.cast("string")).alias("case_id"),
         F.concat(F.lit("C"), F.lpad(key.cast("string"), 8, "0")).alias("customer_id"),
         F.date_add(F.lit(dt.date(2024, 1, 1)), ((key + v * 3) % 20).cast("int")).cast("timestamp_ntz").alias("created_at"),
-        F.when((key + v) % 9 == 0, "demo").otherwise("anomaly_model").alias("source"),
+        F.when((key + v) % 9 == 0, "public_demo").otherwise("anomaly_model").alias("source"),
         F.when(state == 0, "otp_sent").when(state == 1, "verified").when(state == 2, "escalated").otherwise("closed").alias("status"),
         F.concat(F.lit("+57300"), (key % 40).cast("string")).alias("contact_whatsapp"))
 
@@ -81,7 +81,7 @@ def pending_queue(t: BankTables):
 
 view("open_now", """
 SELECT customer_id, case_id FROM existing_cases
-WHERE status IN ('otp_sent', 'verified', 'customer_reported_fraud', 'escalated') AND source <> 'demo'
+WHERE status IN ('otp_sent', 'verified', 'customer_reported_fraud', 'escalated') AND source <> 'public_demo'
 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, case_id) = 1""")
 
 
@@ -245,7 +245,7 @@ SELECT *, {normalized('languages')} AS spoken, lower(agent_type) AS kind, {norma
 FROM (SELECT DISTINCT * FROM service_agents WHERE agent_status = 'Active') a WHERE lower(agent_type) <> 'in-person'""")
 SHIFT_SQL = ("(shift = 'rotating' OR (shift = 'morning' AND hour >= 6 AND hour < 14) OR (shift = 'afternoon' AND hour >= 14 AND hour < 22) "
              "OR (shift = 'night' AND (hour >= 22 OR hour < 6)))")
-view("ranked_agents", f"""
+RANKED = f"""
 SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY routing_score DESC, agent_id) AS rank FROM (
   SELECT *, round_even(specialist::INT * 40.0 + same_accent::INT * 20 + same_country::INT * 15 + working::INT * 15
          + (kind IN ('digital', 'hybrid'))::INT * 10
@@ -260,7 +260,10 @@ SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY routing_score DESC, a
   FROM (SELECT c.case_id, c.customer_id, c.lang, a.*, coalesce(c.accent, '') NOT IN ('', 'neutral') AND own_accent = c.accent AS same_accent,
                coalesce(c.country, '') <> '' AND own_country = c.country AS same_country, {SHIFT_SQL} AS working
         FROM routed_languages c JOIN chat_agents a ON
-          (c.lang = 'es' AND spoken LIKE '%espanol%') OR (c.lang = 'pt' AND spoken LIKE '%portugues%') OR (c.lang = 'en' AND spoken LIKE '%ingles%')) p) q""")
+          (c.lang = 'es' AND spoken LIKE '%espanol%') OR (c.lang = 'pt' AND spoken LIKE '%portugues%') OR (c.lang = 'en' AND spoken LIKE '%ingles%')) p) q"""
+view("ranked_agents", RANKED)
+view("routed_spoken", "SELECT * REPLACE (coalesce(lang, 'es') AS lang) FROM routed_languages")
+view("ranked_spoken", RANKED.replace("routed_languages", "routed_spoken"))
 
 
 @query("rank_agents", "SELECT case_id, rank, agent_id, routing_score, routing_reasons FROM ranked_agents WHERE rank <= 3")
@@ -271,12 +274,11 @@ def rank_agents(t: BankTables):
 
 @query("escalations", """
 SELECT 'ESC-' || upper(left(md5(c.case_id), 12)) AS escalation_id, c.case_id, c.customer_id, r.agent_id,
-       r.first_name || ' ' || r.last_name AS agent_name, coalesce(c.lang, 'es') AS language, r.routing_score,
+       r.first_name || ' ' || r.last_name AS agent_name, c.lang AS language, r.routing_score,
        CASE WHEN r.agent_id IS NULL THEN 'pending_no_agent' ELSE 'open' END AS status
-FROM routed_languages c LEFT JOIN (SELECT * FROM ranked_agents WHERE rank = 1) r USING (case_id) WHERE c.lang IS NOT NULL""")
+FROM routed_spoken c LEFT JOIN (SELECT * FROM ranked_spoken WHERE rank = 1) r USING (case_id)""")
 def escalations(t: BankTables):
-    cases = routed_cases(t).filter(G.language_code(F.col("language")).isNotNull())
-    rows = G.escalations(cases, active_agents(t.agents), F.lit(OPENED).cast("timestamp_ntz"))
+    rows = G.escalations(routed_cases(t), active_agents(t.agents), F.lit(OPENED).cast("timestamp_ntz"))
     return rows.select("escalation_id", "case_id", "customer_id", "agent_id", "agent_name", "language", "routing_score", "status")
 
 

@@ -15,8 +15,6 @@ from riskloom.plans.catalog.registry import query, rounded
 from riskloom.plans.catalog.sources import scratch
 from riskloom.sources.tables import customers_latest
 
-STARTS = 3      # restarts in the queries; the operator's own default is 10
-
 
 def preprocessed(t: BankTables):
     features = feature_rows(t)
@@ -26,7 +24,7 @@ def preprocessed(t: BankTables):
 
 def fitted(t: BankTables):
     features = feature_rows(t)
-    return features, K.fit_customer_clusters(features, starts=STARTS, checked=True)
+    return features, K.fit_customer_clusters(features, checked=True)
 
 
 @query("ml_log_scale", """
@@ -96,18 +94,18 @@ def assign_clusters(t: BankTables):
 def k_sweep(t: BankTables):
     features, model, rows = preprocessed(t)
     pca = K.fit_pca(rows, K.N_COMPONENTS, len(K.feature_names(model)))
-    return K.k_sweep(pca.transform(rows), ks=range(2, 6), starts=1)
+    return K.k_sweep(pca.transform(rows), )
 
 
 @query("pca_variance_table")
 def pca_variance_table(t: BankTables):
-    _, model = fitted(t)
+    model = K.fit_components(feature_rows(t))
     return K.variance_table(model, t.spark)
 
 
 @query("pca_contributions")
 def pca_contributions(t: BankTables):
-    features, model = fitted(t)
+    model = K.fit_components(feature_rows(t))
     return K.contributions(model, K.feature_names(model), t.spark)
 
 
@@ -168,7 +166,7 @@ def inputs(t: BankTables) -> L.BankInputs:
 
 @query("train_run")
 def train_run(t: BankTables):
-    model = L.train(inputs(t), "2024-01-20", starts=STARTS)
+    model = L.train(inputs(t), "2024-01-20")
     return rounded(model.profiles)
 
 
@@ -176,7 +174,7 @@ def train_run(t: BankTables):
 def model_store(t: BankTables):
     """Train, save, find the newest, load it and score the days after the training."""
     models = scratch(t, "models")
-    L.save_model(L.train(inputs(t), "2024-01-20", starts=STARTS), models)
+    L.save_model(L.train(inputs(t), "2024-01-20"), models)
     model = L.load_model(t.spark, L.latest_model_folder(t.spark, models))
     result = L.score_as_of(inputs(t), model, AS_OF, recent_days=7)
     return rounded(result.summary.withColumn("suspicious_features", F.array_join("suspicious_features", ",")))

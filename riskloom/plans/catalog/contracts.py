@@ -15,15 +15,13 @@ from riskloom.sources import tables
 
 # An input with every kind of violation: the raw customer records, dates as text.
 CHECKED = C.Contract(
-    "registro de clientes",
-    (C.Field("customer_id", "string", nullable=False), C.Field("birth", "datetime", min="1960-01-01", max="1995-12-31"),
-     C.Field("credit_score", "number", nullable=False, min=300, max=850),
-     C.Field("estimated_monthly_income", "number", nullable=False, min=200000, max=1900000),
-     C.Field("country", "string", nullable=False, allowed=C.COUNTRIES, normalize=normalize_key),
-     C.Field("customer_status", "string", allowed=frozenset({"Active", "Inactive"}))),
-    unique=("customer_id",),
-    row_checks=(("score impar", lambda: F.col("credit_score") % 2 == 1),
-                ("posgrado sin ocupación", lambda: (F.col("education_level") == "Posgrado") & F.col("occupation").isNull())))
+    "registro de clientes", C.Expect.text("customer_id").required(), C.Expect.moment("birth").between("1960-01-01", "1995-12-31"),
+    C.Expect.number("credit_score").required().between(300, 850),
+    C.Expect.number("estimated_monthly_income").required().between(200000, 1900000),
+    C.Expect.text("country").required().among(C.COUNTRIES, normalize_key), C.Expect.text("customer_status").among({"Active", "Inactive"}),
+    key=["customer_id"],
+    never={"score impar": lambda: F.col("credit_score") % 2 == 1,
+           "posgrado sin ocupación": lambda: (F.col("education_level") == "Posgrado") & F.col("occupation").isNull()})
 ORDER = ["last_updated", "credit_score", "estimated_monthly_income", "first_name"]
 
 view("checked_customers", """
@@ -76,7 +74,7 @@ def checked_customers(t: BankTables):
 SELECT * FROM (VALUES ('faltan columnas', true), ('tipos incorrectos', true), ('columna vacía', false)) s(problem, refused)""")
 def contract_schema(t: BankTables):
     """Schema errors of three variants of the same table; the last column of nulls has no kind."""
-    spec = C.Contract("prueba", (C.Field("customer_id", "string"), C.Field("credit_score", "number")))
+    spec = C.Contract("prueba", C.Expect.text("customer_id"), C.Expect.number("credit_score"))
     variants = {"faltan columnas": t.customers.drop("credit_score"),
                 "tipos incorrectos": t.customers.withColumn("credit_score", F.col("credit_score").cast("string")),
                 "columna vacía": t.customers.withColumn("credit_score", F.lit(None).cast("string"))}
@@ -92,14 +90,14 @@ def contract_schema(t: BankTables):
 
 @query("contract_column_rules", _counts("checked_customers", FIELD_RULES))
 def contract_column_rules(t: BankTables):
-    spec = C.Contract(CHECKED.name, CHECKED.fields)
+    spec = C.Contract(CHECKED.title, *CHECKED.columns)
     return C.rule_counts(checked_customers(t), spec)
 
 
 @query("contract_row_checks", _counts("checked_customers", ROW_RULES))
 def contract_row_checks(t: BankTables):
     finite = checked_customers(t).withColumn("credit_score", F.when(F.col("credit_score") < 9e9, F.col("credit_score")))
-    return C.rule_counts(finite, C.Contract(CHECKED.name, (), row_checks=CHECKED.row_checks))
+    return C.rule_counts(finite, C.Contract(CHECKED.title, never=CHECKED.never))
 
 
 @query("contract_unique", """
@@ -111,8 +109,7 @@ def contract_unique(t: BankTables):
 @query("contract_validate", f"""
 SELECT * FROM products WHERE current_balance IS NULL OR (current_balance >= 0 AND current_balance <= 480000)""")
 def contract_validate(t: BankTables):
-    spec = C.Contract("productos", (C.Field("product_id", "string", nullable=False),
-                                    C.Field("current_balance", "number", min=0, max=480000)), max_invalid_fraction=0.5)
+    spec = C.Contract("productos", C.Expect.text("product_id").required(), C.Expect.number("current_balance").between(0, 480000), tolerance=0.5)
     return C.validate(t.products, spec, mode="drop")[0]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom import sinks
 from riskloom.functions.numbers import as_date, history_window, recent_and_baseline
 from riskloom.operators import cases as casework
-from riskloom.operators import clustering, evaluation, rules, scoring
+from riskloom.operators import clustering, evaluation, routing, rules, scoring
 from riskloom.operators.analysis import DEFAULT_DAYS, analyze_window
 from riskloom.operators.behavior import profile_metrics, window_behavior
 from riskloom.operators.contracts import CLUSTER_PROFILES, validate
@@ -103,7 +103,7 @@ def train(inputs: BankInputs, as_of: dt.date | str, components: int = clustering
     profiles = scoring.cluster_profiles(behavior, assigned, metrics)
     activity = clustering.cluster_activity(assigned, behavior)
     sizes = {str(r["cluster"]): r["count"] for r in assigned.groupBy("cluster").count().orderBy("cluster").collect()}
-    rates = {r["currency"]: r["usd_rate"] for r in inputs.rates.limit(1000).collect()}
+    rates = {r["currency"]: r["usd_rate"] for r in inputs.rates.collect()}
     metadata = {
         "model_version": model_version(as_of), "as_of": as_of.isoformat(),
         "profile_window": {"start": window.start.isoformat(), "end_inclusive": window.last_day.isoformat()},
@@ -156,8 +156,8 @@ def score_as_of(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str,
                 metrics: Sequence[str] = tuple(scoring.SCORED_METRICS), recent_days: int = RECENT_DAYS) -> ScoringResult:
     """Score the days that end on `as_of`. Nothing is written to the operational tables."""
     as_of, started = as_date(as_of), sinks.now()
-    known = {r["feature"] for r in model.profiles.select("feature").distinct().limit(1000).collect()}
-    missing = sorted(set(metrics) - known)
+    wanted = model.profiles.sparkSession.createDataFrame([(m,) for m in metrics], "feature string")
+    missing = sorted(r["feature"] for r in wanted.join(model.profiles, "feature", "left_anti").distinct().collect())
     if missing:
         raise KeyError(f"the model {model.metadata['model_version']} has no profile for {missing}")
     features = inputs.features(as_of)
@@ -189,18 +189,48 @@ def process_queue(ops: sinks.Operations, transactions: DataFrame, customers: Dat
     scored = materialize(rules.score_transactions(transactions, settings, chosen), "scored")
     profiles = latest_profiles(customers.join(requested, "customer_id", "left_semi"))
     contacts = casework.contact_resolution(profiles, contact_map)
-    existing = materialize(ops.read("fraud_cases"), "existing-cases")
+    existing = materialize(ops.current_cases(), "existing-cases")
     cases, links = casework.open_cases(requested, scored, analyze_window(scored, days), contacts, existing, opened,
                                        contact_map is not None, settings)
     cases = materialize(cases, "cases")
-    ops.append("case_transactions", links)
-    ops.append("fraud_cases", cases)
+    ops.append_new("case_transactions", links, ["case_id", "transaction_id"])
+    ops.append_new("fraud_cases", cases, ["case_id"])
     outcomes = casework.queue_outcomes(queue, requested, cases, existing, F.lit(sinks.now()).cast("timestamp_ntz"))
     outcomes = materialize(outcomes, "outcomes")
     ops.append("queue_outcomes", outcomes)
     return outcomes
 
 
+def open_listed_cases(ops: sinks.Operations, listed: DataFrame, transactions: DataFrame, customers: DataFrame, opened: dt.date | str,
+                      days: int = DEFAULT_DAYS, contact_map: DataFrame | None = None, settings: rules.RuleSettings = rules.DEFAULTS
+                      ) -> DataFrame:
+    """Cases for the customers of a file (customer_id, anomaly_score); returns the new ones."""
+    requested = materialize(listed.groupBy("customer_id").agg(F.max("anomaly_score").alias("anomaly_score")).select(
+        "customer_id", F.lit("anomaly_model").alias("source"), "anomaly_score", F.lit(None).cast("string").alias("transaction_ids")), "requests")
+    scored = materialize(rules.score_transactions(transactions, settings, requested.select(F.col("customer_id").alias("customer"))), "scored")
+    contacts = casework.contact_resolution(latest_profiles(customers.join(requested, "customer_id", "left_semi")), contact_map)
+    cases, links = casework.open_cases(requested, scored, analyze_window(scored, days), contacts, materialize(ops.current_cases(), "existing-cases"),
+                                       opened, contact_map is not None, settings)
+    cases = materialize(cases, "cases")
+    ops.append_new("case_transactions", links, ["case_id", "transaction_id"])
+    ops.append_new("fraud_cases", cases, ["case_id"])
+    return cases
+
+
+def escalate_cases(ops: sinks.Operations, cases: DataFrame, agents: DataFrame, at: dt.datetime) -> DataFrame:
+    """Hand cases (case_id, customer_id, language, accent, country, hour, reason, summary) to the best agent.
+
+    The escalation is written first, under an id that follows from the case, then the new status; a
+    repeated call adds neither a second time.
+    """
+    rows = materialize(routing.escalations(cases, agents, F.lit(at).cast("timestamp_ntz")), "escalations")
+    ops.append_new("escalations", rows, ["escalation_id"])
+    state = ops.current_cases().filter(F.col("status") != "escalated").select("case_id")
+    ops.update_cases(rows.join(state, "case_id", "left_semi").select(
+        "case_id", F.lit(at).cast("timestamp_ntz").alias("at"), F.lit("escalated").alias("status"), F.lit(None).cast("string").alias("comment")))
+    return rows
+
+
 def evaluate_window(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str, seed: int = 42) -> DataFrame:
     """One row per customer of a held-out window. A window inside the training data is refused."""
     as_of = as_date(as_of)

@@ -10,11 +10,13 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.cases import current_cases
 from riskloom.operators.scoring import DEFAULT_MIN_SUSPICIOUS, flagged_customers
 from riskloom.session import materialize
 
@@ -64,7 +66,7 @@ class Operations:
         try:
             return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
         except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return self.empty(table)
             raise
 
@@ -73,7 +75,9 @@ class Operations:
         for table in SCHEMAS:
             try:
                 self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-            except AnalysisException:
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 if table not in RUN_TABLES:
                     self.empty(table).write.mode("append").parquet(self.path(table))
 
@@ -81,6 +85,20 @@ class Operations:
         names = self.empty(table).columns
         rows.select(*names).write.mode("append").parquet(self.path(table))
 
+    def append_new(self, table: str, rows: DataFrame, keys: list[str]) -> None:
+        """Append the rows whose key is not there yet, so that a broken-off step can be repeated."""
+        have = self.read(table).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        self.append(table, materialize(rows.join(have, same, "left_anti"), "new-rows"))
+
+    def current_cases(self) -> DataFrame:
+        """The cases with every update applied."""
+        return current_cases(self.read("fraud_cases"), self.read("case_updates"))
+
+    def update_cases(self, updates: DataFrame) -> None:
+        """Append updates (case_id, at, status, comment); a null status or comment leaves what was there."""
+        self.append_new("case_updates", updates, ["case_id", "at", "status", "comment"])
+
     def replace_run(self, table: str, rows: DataFrame, as_of: dt.date, version: str) -> None:
         """Replace the rows of one run, also by none: the partition folder itself is overwritten."""
         names = [c for c in self.empty(table).columns if c not in RUN_KEYS]

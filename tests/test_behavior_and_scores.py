@@ -5,7 +5,7 @@ import statistics
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from samples import AS_OF, activity, frame
+from samples import AS_OF, frame, purchase_table
 
 from riskloom.functions.numbers import recent_and_baseline
 from riskloom.operators import behavior as B
@@ -16,8 +16,8 @@ BASELINE, RECENT = recent_and_baseline(AS_OF)
 
 
 @pytest.fixture(scope="module")
-def table():
-    rows = activity(["A", "B", "D"], RECENT.start, RECENT.days, per_day=0.8, amount={"A": 50.0, "B": 80.0, "D": 5.0})
+def table(spark):
+    rows = purchase_table(spark, {"A": 61, "B": 240, "D": 7.5}, RECENT.start, RECENT.days, 8)
     rows.loc[rows.index % 5 == 0, "amount_usd"] = None
     rows.loc[rows.index % 10 == 0, "currency"] = "COP"
     rows.loc[rows.index % 4 == 0, "transaction_type"] = "Transfer"
@@ -63,7 +63,7 @@ def test_large_customers_take_the_other_path(spark, table):
 
 
 def test_invalid_transactions_leave(spark):
-    rows = activity(["A", "B"], RECENT.start, RECENT.days, per_day=0.9)
+    rows = purchase_table(spark, {"A": 33, "B": 12}, RECENT.start, RECENT.days, 9)
     rows.loc[0, "transaction_status"] = "Desconocido"
     behavior = B.build_transaction_behavior(frame(spark, rows), RECENT)
     assert behavior.agg(F.sum("num_transacciones")).first()[0] == len(rows) - 1

@@ -152,3 +152,24 @@ def test_recent_transactions_and_window(spark):
         assert row["b"] - row["a"] <= dt.timedelta(days=1)
     recent = A.recent_transactions(scored, days=400, limit=500, ceiling=50)
     assert recent.groupBy("customer").count().agg(F.max("count")).first()[0] == 50
+
+
+def subscription_rows():
+    """Twenty customers that pay one constant amount; one payment is four times as large. One row has no id."""
+    rows = []
+    for c in range(20):
+        for i in range(60):
+            amount = (0.1 + c) * (4 if i == 46 else 1)
+            rows.append((None if (c, i) == (3, 30) else f"S{c}-{i:03d}", f"C{c}", START + dt.timedelta(hours=7 * i), amount, amount, "USD", "CO", "Cali", "a",
+                         "Web", "Approved", None, False, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [2_000, 59, 1])
+def test_constant_amounts_and_missing_ids_are_alike_on_both_paths(spark, limit):
+    settings = replace(R.DEFAULTS, large_customer=limit, rows_per_share=7)
+    scored = R.score_transactions(spark.createDataFrame(subscription_rows(), SCHEMA), settings, keep_hits=True)
+    assert scored.count() == 1200
+    assert scored.filter("hit_amount").count() == 0          # nothing deviates before, so there is no deviation to exceed
+    assert scored.filter("prior_n >= 5 AND prior_n <= 46 AND amt_std != 0").count() == 0
+    assert scored.filter("id IS NULL").count() == 1
