@@ -17,15 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import arrow_rows, only, pieces, remainder
+from riskloom.llm.texts import arrow_rows, lowered_words, only, pieces, remainder
 from riskloom.session import materialize
 
 MIN_WORD, MIN_FUZZY = 3, 5
 STEMS = range(4, 9)             # lengths of beginnings that may become terms
 MAX_TERMS = 2000                # terms of the lexicon, the most significant first
+SKETCH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)      # odd numbers
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 16_000      # labelled transcripts learned from, at most
 WINDOW = 6                      # words on either side that can mark a quotation
 THRESHOLD = 0.3
@@ -209,11 +211,12 @@ def _per_text(rows: DataFrame, extra: str, schema: str, function) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, weights: dict[int, float]) -> dict[str, float]:
     """Weights of the terms that are significantly more frequent in toxic transcripts of the sample.
 
-    A term is kept when twice its log likelihood ratio exceeds what the best of so many terms reaches
-    by chance; of a beginning and the words under it the one with the stronger case is kept.
+    A term is significant when twice its log likelihood ratio exceeds what the best of so many terms
+    reaches by chance, and kept when at least two in three of the transcripts that have it are toxic. Of a
+    beginning and the words under it the one with the stronger case is kept.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
@@ -244,7 +247,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
                 + part(n_toxic - F.col("t"), F.greatest(unseen, F.lit(1)), n_toxic) + part(n_clean - F.col("c"), F.greatest(unseen, F.lit(1)), n_clean))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     strong = counts.withColumns({"gain": gain, "weight": weight}).filter(
-        (F.col("gain") > 2 * math.log(max(total, 2)) + 6) & (F.col("weight") > 1.5))
+        (F.col("gain") > 2 * math.log(max(total, 2)) + 6) & (F.col("t") * weights[1] >= 2 * F.col("c") * weights[0]))
     rows = strong.orderBy(F.col("gain").desc(), F.length(F.regexp_replace("term", r"\*$", "")).desc(), "term").limit(MAX_TERMS).collect()
     kept: dict[str, tuple[float, int]] = {}
     for r in rows:
@@ -259,6 +262,41 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {t: w for t, (w, _) in kept.items()}
 
 
+def sketch(text: str | None) -> list[int]:
+    """Smallest values of SKETCH mixings of the hashes of all three-word shingles; near copies share most."""
+    low = [np.iinfo(np.uint64).max] * len(SKETCH)
+    for words in lowered_words(text):
+        shingles = map(b" ".join, zip(words, words[1:] or words, words[2:] or words))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64)
+        if len(hashes):
+            low = [min(x, int((hashes * np.uint64(m)).min())) for x, m in zip(low, SKETCH)]
+    return [x - (1 << 63) for x in low]
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one of each group of near copies, whose common words would look significant.
+
+    A text goes if another one with a smaller hash shares a value of its sketch; of a group the
+    smallest stays in any case.
+    """
+    names = [f"m{i}" for i in range(len(SKETCH))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(text) for (text,) in arrow_rows(b, "full_text")] or []
+            columns = list(zip(*found)) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c, pa.int64()) for c in columns]],
+                                             ["text_key", "full_text", "toxic", *names])
+
+    keyed = materialize(sample.select(F.xxhash64("full_text").alias("text_key"), "full_text", "toxic").mapInArrow(
+        run, "text_key bigint, full_text string, toxic int, " + ", ".join(f"{n} bigint" for n in names)), "sketches")
+    kept = keyed
+    for name in names:
+        first = keyed.groupBy(name).agg(F.min("text_key").alias("first"))
+        kept = kept.join(first, name).filter("text_key = first").drop("first")
+    return materialize(kept.select("full_text", "toxic"), "distinct-texts")
+
+
 def learn_misspellings(sample: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
     """Weights of what lies one error from a term, from how often that is toxic in the sample: 0 and
     less where such words are harmless."""
@@ -315,7 +353,8 @@ def training_sample(transcripts: DataFrame, labels: DataFrame) -> tuple[DataFram
         weights[label] = max(1.0, n / most)
         part = own.orderBy(F.xxhash64("transcript_id"), "transcript_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = transcripts.join(F.broadcast(chosen), "transcript_id").select("transcript_id", "full_text", "toxic")
+    # A text that was labelled several times counts once.
+    sample = transcripts.join(F.broadcast(chosen), "transcript_id").groupBy("full_text").agg(F.max("toxic").alias("toxic"))
     return materialize(sample, "labelled"), weights
 
 
@@ -333,9 +372,10 @@ def score_transcripts(transcripts: DataFrame, labels: DataFrame, transcript_id:
     rows = only(transcripts, transcript_id=transcript_id, full_text=full_text)
     kind = rows.schema["transcript_id"].dataType.simpleString()
     sample, weights = training_sample(rows, only(labels, transcript_id=labelled_id, toxic=toxic))
-    lexicon = learn_lexicon(sample)
+    apart = without_copies(sample)
+    lexicon = learn_lexicon(apart, weights)
     if lexicon:
-        lexicon |= learn_misspellings(sample, lexicon)
+        lexicon |= learn_misspellings(apart, lexicon)
     fixed = tuple(sorted(lexicon.items()))
     coefficients = PRIOR
     if lexicon:
