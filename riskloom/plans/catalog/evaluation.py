@@ -12,7 +12,7 @@ from riskloom.operators.behavior import dedup_transactions
 from riskloom.operators.scaling import union_all
 from riskloom.plans import lifecycle as L
 from riskloom.plans.bridge import BankTables
-from riskloom.plans.catalog.clusters import STARTS, inputs
+from riskloom.plans.catalog.clusters import inputs
 from riskloom.plans.catalog.common import AS_OF, RECENT, inside
 from riskloom.plans.catalog.registry import query, rounded, view
 from riskloom.plans.catalog.rules import SETTINGS, analysed, scored
@@ -218,7 +218,7 @@ def evaluation_report(t: BankTables):
 @query("evaluate_held_out")
 def evaluate_held_out(t: BankTables):
     """Train on the first days, evaluate on the later ones."""
-    model = L.train(inputs(t), "2024-01-10", starts=STARTS)
+    model = L.train(inputs(t), "2024-01-10")
     return L.evaluate(inputs(t), model, ["2024-01-30"], rules_negatives=NEGATIVES)
 
 
