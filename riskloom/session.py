@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
+_own_folders: dict[str, str] = {}
 
 
 def build_session(app_name: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,19 +37,17 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session may fall back to a
-    temporary one: executors on other machines could not read it."""
+    """The folder named by spark.checkpoint.dir, else one beside the tables of the warehouse: both are
+    places that every executor can reach. A local session removes what it put there when it ends."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        folder = tempfile.mkdtemp(prefix="riskloom-")
-        _local_scratch[app] = folder
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return _local_scratch[app]
+    if app not in _own_folders:
+        _own_folders[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/riskloom-scratch-{app}"
+        if spark.sparkContext.master.startswith("local"):
+            atexit.register(shutil.rmtree, urlparse(_own_folders[app]).path, ignore_errors=True)
+    return _own_folders[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
