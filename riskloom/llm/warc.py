@@ -49,7 +49,10 @@ def page_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     """A dictionary trained on a bounded sample of bodies; empty when there are too few to train on."""
     body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     rows = pages.select(F.substring(body, 1, SAMPLE_BYTES).alias("b"), F.sha1(body.cast("binary")).alias("d")).filter("b != ''")
-    sample = [r["b"].encode("utf-8") for r in rows.orderBy("d", "b").limit(DICTIONARY_SAMPLE).collect()]
+    # Digests first, then their bodies, so that tasks send short rows and never a body that is not needed.
+    first = rows.select("d").orderBy("d").limit(DICTIONARY_SAMPLE).agg(F.array_distinct(F.collect_list("d")).alias("d")).first()["d"]
+    chosen = rows.filter(F.col("d").isin(first)).groupBy("d").agg(F.max("b").alias("b")) if first else rows.limit(0)
+    sample = [r["b"].encode("utf-8") for r in chosen.orderBy("d").collect()]
     if len(sample) < 16:
         return b""
     try:
