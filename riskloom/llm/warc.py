@@ -39,6 +39,7 @@ DICTIONARY_SAMPLE = 200         # pages that the dictionary is trained on, the f
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 16 << 10         # of each of them
 LEVEL = 3
+STEP = 16 << 10
 
 
 class ArchiveError(ValueError):
@@ -122,7 +123,7 @@ def parse(data: bytes) -> dict:
 
 def read_archive(content: bytes) -> Iterator[dict]:
     """Every record of one archive, one frame at a time."""
-    view, at, dictionary, first = memoryview(content), 0, None, True
+    view, at, first, unpacker = memoryview(content), 0, True, zstandard.ZstdDecompressor()
     while at < len(view):
         if len(view) - at < 8:
             raise ArchiveError("cut off inside a frame header")
@@ -134,15 +135,18 @@ def read_archive(content: bytes) -> Iterator[dict]:
                 held = bytes(view[at + 8:at + 8 + size])
                 if held[:4] == struct.pack("<I", ZSTD_FRAME):       # the dictionary may be compressed itself
                     held = zstandard.ZstdDecompressor().decompress(held)
-                dictionary = zstandard.ZstdCompressionDict(held)
+                unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
             at += 8 + size
         elif magic == ZSTD_FRAME:
-            reader = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-            data = reader.decompress(view[at:])
-            if not reader.eof:
-                raise ArchiveError("cut off inside a frame")
-            at = len(view) - len(reader.unused_data)
-            yield parse(data)
+            reader = unpacker.decompressobj()
+            parts = []
+            while not reader.eof:                   # in steps, as what is left over is copied
+                if at >= len(view):
+                    raise ArchiveError("cut off inside a frame")
+                parts.append(reader.decompress(view[at:at + STEP]))
+                at = min(at + STEP, len(view))
+            at -= len(reader.unused_data)
+            yield parse(b"".join(parts))
         else:
             raise ArchiveError(f"no frame begins at byte {at}")
         first = False
@@ -173,6 +177,8 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if held is not None:
+            held.precompute_compress(level=LEVEL)       # digested once per task instead of once per record
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=True)
         lead = [skippable(dictionary)]
         for b in batches:
