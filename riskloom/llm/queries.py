@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import materialize
-from riskloom.llm import (ctw, decontamination, mixing, pii, simhash, token_codec, token_rollup, topk, toxicity, warc)
+from riskloom.llm import (ctw_texts, decontamination, mixing, pii, simhash, token_codec, token_rollup, topk, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,7 +178,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_context_tree")
 def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.texts import remainder
-    found = ctw.score_transcripts(read(spark, folder, "documents"), remainder(F.col("doc_id"), 7) != 2, **DOCUMENT)
+    found = ctw_texts.score_transcripts(read(spark, folder, "documents"), remainder(F.col("doc_id"), 7) != 2, **DOCUMENT)
     return found.select(F.col("transcript_id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                         "base_score", "score")
 
