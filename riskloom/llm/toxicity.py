@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled transcripts: words, and beginnings of words shared by many
 inflected forms, that are significantly more frequent in toxic ones. A word of a text matches a term
-exactly, by its beginning, or with one error (terms of MIN_FUZZY letters and more). Each match is
+exactly, by its beginning, or with one error in the word or in its beginning; a digit or sign may be the
+error. With terms of less than MIN_FUZZY letters an error counts beside another match only. Each match is
 weighed by the window around it: inside quotation marks or beside a reporting word it counts as
 quotation, otherwise as abuse. A logistic regression turns both sums into a score.
 """
@@ -11,11 +12,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,6 +36,8 @@ WINDOW = 6                      # words on either side that can mark a quotation
 THRESHOLD = 0.3
 
 LETTERS = re.compile(r"[^\W\d_]+")
+# Fixed value: signs that stand for a letter at the start or end of a word.
+LIKE_LETTERS = frozenset("0123456789$@€")
 # Quotation marks, and words that report what somebody else said.
 QUOTES = frozenset("\"“”„«»‹›")
 REPORTING = frozenset((
@@ -95,14 +100,16 @@ class LevenshteinAutomaton:
         return min(left, default=None)
 
 
-def intersect(trie: Trie, word: str, errors: int) -> list[tuple[int, int]]:
-    """(term, distance) of every term within the errors: automaton and trie are walked together."""
+def intersect(trie: Trie, word: str, errors: int, beginning: bool = False) -> list[tuple[int, int]]:
+    """(term, distance) of every term within the errors of the word, or else of the nearest of its
+    beginnings: automaton and trie are walked together."""
     automaton, found = LevenshteinAutomaton(word, errors), []
     stack = [(0, automaton.start())]
     while stack:
         node, state = stack.pop()
         term = trie.ends[node]
-        if term is not None and (d := automaton.distance(state)) is not None:
+        d = None if term is None else min(e for _, e in state) if beginning else automaton.distance(state)
+        if d is not None:
             found.append((term, d))
         for letter, child in trie.children[node].items():
             after = automaton.step(state, letter)
@@ -111,6 +118,11 @@ def intersect(trie: Trie, word: str, errors: int) -> list[tuple[int, int]]:
     return found
 
 
+def shortened(word: str) -> list[str]:
+    """The word and its forms with one letter less."""
+    return [word, *[word[:i] + word[i + 1:] for i in range(len(word))]]
+
+
 class Lexicon:
     """Weighted words, beginnings (ending in *) and misspellings (ending in ~, weighted on their own)."""
 
@@ -119,20 +131,28 @@ class Lexicon:
         self.stems = {t[:-1]: w for t, w in weights.items() if t[-1] == "*"}
         self.near = {t[:-1]: w for t, w in weights.items() if t[-1] == "~"}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.terms = sorted(t for t in self.words if len(t) >= MIN_FUZZY)
-        self.trie = Trie(self.terms)
-        self.heads = {t[:len(t) // 2] for t in self.terms}
-        self.tails = {t[len(t) // 2:] for t in self.terms}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        self.terms, self.beginnings = sorted(self.words), sorted(self.stems)
+        self.trie, self.stem_trie = Trie(self.terms), Trie(self.beginnings)
+        self.longest = max(map(len, self.terms), default=0)
+        self.around = {v for t in self.terms for v in shortened(t)}
+        self.stems_around = {v for t in self.beginnings for v in shortened(t)}
         self.known: dict[str, tuple[str, float] | None] = {}
 
+    def starts(self, word: str) -> list[str]:
+        """The beginnings that the word has, exactly."""
+        return [word[:n] for n in self.lengths if n < len(word) and word[:n] in self.stems]
+
     def misspelt(self, word: str) -> str | None:
-        """The term that the word misspells by one error; one of its halves is then intact at its end."""
-        if len(word) < MIN_FUZZY - 1 or word in self.words:
+        """The term that the word, or else the beginning that its own beginning, misspells by one error.
+        Two words within one error share a form with at most one letter less, which is looked up first."""
+        if word in self.words or self.starts(word):
             return None
-        if not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
-            return None
-        found = [self.terms[t] for t, d in intersect(self.trie, word, 1) if d == 1]
+        found = []
+        if len(word) <= self.longest + 1 and not self.around.isdisjoint(shortened(word)):
+            found = [self.terms[t] for t, d in intersect(self.trie, word, 1) if d == 1]
+        if not found and any(not self.stems_around.isdisjoint(shortened(word[:n]))
+                             for n in {m for length in self.lengths for m in (length - 1, length, length + 1)} if n <= len(word)):
+            found = [self.beginnings[t] + "*" for t, d in intersect(self.stem_trie, word, 1, beginning=True) if d == 1]
         return min(found, default=None)
 
     def match(self, word: str) -> tuple[str, float] | None:
@@ -140,9 +160,9 @@ class Lexicon:
         if word in self.known:
             return self.known[word]
         found = [(word, self.words[word])] if word in self.words else []
-        found += [(word[:n] + "*", self.stems[word[:n]]) for n in self.lengths if n < len(word) and word[:n] in self.stems]
+        found += [(start + "*", self.stems[start]) for start in self.starts(word)]
         if not found and (term := self.misspelt(word)) is not None:
-            found.append((term + "~", self.near.get(term, 0.5 * self.words[term])))
+            found.append((term + "~", self.near.get(term, 0.5 * (self.stems[term[:-1]] if term[-1] == "*" else self.words[term]))))
         if len(self.known) > 500_000:
             self.known.clear()
         best = max(found, key=lambda x: (x[1], x[0]), default=None)
@@ -171,20 +191,49 @@ def term_set(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if n < len(w)}
 
 
+def hits(low: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
+    """(start, end, entry, weight) of every match in a lower-case text.
+
+    A run of letters is looked up alone; where neither it nor its neighbour across a single digit or
+    sign is a term, it is looked up with that sign, so that the sign can be the error. An error in a
+    term of less than MIN_FUZZY letters counts only within WINDOW words of another match.
+    """
+    runs = list(LETTERS.finditer(low))
+    alone = {w: lexicon.match(w) for w in {r.group() for r in runs} if len(w) >= MIN_WORD - 1}
+    found: list[tuple[int, int, int, str, float]] = []
+    exact = {w for w, m in alone.items() if m is not None and m[0][-1] != "~"}
+    used = -1
+    for i, run in enumerate(runs):
+        word, (start, end) = run.group(), run.span()
+        if word not in exact:
+            joined = i + 1 < len(runs) and runs[i + 1].start() == end + 1 and not low[end].isspace() and runs[i + 1].group() not in exact
+            ways = [(start, runs[i + 1].end(), i + 1)] if joined else []
+            left, right = start - (low[start - 1:start] in LIKE_LETTERS), end + (low[end:end + 1] in LIKE_LETTERS)
+            ways += [way for way in ((left, end, i), (start, right, i)) if way[1] - way[0] > end - start]
+            signed = [(a, b, last, m) for a, b, last in ways if (m := lexicon.match(low[a:b])) is not None]
+            if signed and i > used:
+                a, b, used, m = max(signed, key=lambda x: x[3][1])
+                found.append((i, a, b, *m))
+                continue
+        if i > used and (m := alone.get(word)) is not None:
+            found.append((i, start, end, *m))
+    firm = [i for i, _, _, entry, _ in found if not _weak(entry)]
+    return [hit[1:] for hit in found if not _weak(hit[3]) or any(abs(i - hit[0]) <= WINDOW for i in firm[max(0, bisect_left(firm, hit[0]) - 1):][:2])]
+
+
+def _weak(entry: str) -> bool:
+    return entry[-1] == "~" and len(entry.rstrip("*~")) < MIN_FUZZY
+
+
 def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
     """Largest and summed weight of the matches that are abuse, then of those that are quotation."""
     best, total = [0.0, 0.0], [0.0, 0.0]
     for piece in pieces(text or ""):
         low = piece.lower()
-        matching = {w: m for w in set(LETTERS.findall(low)) if len(w) >= MIN_WORD and (m := lexicon.match(w))}
-        if not matching:
-            continue
-        for found in LETTERS.finditer(low):
-            hit = matching.get(found.group())
-            if hit is not None:
-                quoted = is_quoted(low, found.start(), found.end())
-                best[quoted] = max(best[quoted], hit[1])
-                total[quoted] += hit[1]
+        for start, end, _, weight in hits(low, lexicon):
+            quoted = is_quoted(low, start, end)
+            best[quoted] = max(best[quoted], weight)
+            total[quoted] += weight
     return best[0], math.log1p(total[0]), best[1], math.log1p(total[1])
 
 
@@ -248,18 +297,26 @@ def learn_lexicon(sample: DataFrame, weights: dict[int, float]) -> dict[str, flo
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     strong = counts.withColumns({"gain": gain, "weight": weight}).filter(
         (F.col("gain") > 2 * math.log(max(total, 2)) + 6) & (F.col("t") * weights[1] >= 2 * F.col("c") * weights[0]))
-    rows = strong.orderBy(F.col("gain").desc(), F.length(F.regexp_replace("term", r"\*$", "")).desc(), "term").limit(MAX_TERMS).collect()
-    kept: dict[str, tuple[float, int]] = {}
-    for r in rows:
-        term, toxic = r["term"], r["t"]
-        stem = term[-1] == "*"
+    base = F.regexp_replace("term", r"\*$", "")
+    kept = strong.withColumn("head", F.substring(base, 1, STEMS[0])).groupBy("head").applyInPandas(
+        _without_covered, "term string, t bigint, gain double, weight double")
+    rows = kept.orderBy(F.col("gain").desc(), F.length(base).desc(), "term").limit(MAX_TERMS).collect()
+    return {r["term"]: r["weight"] for r in rows}
+
+
+def _without_covered(terms: pd.DataFrame) -> pd.DataFrame:
+    """Of the significant terms with one head, those that no stronger one stands for. Beginnings are at
+    least as long as a head, so only terms with the same head can cover each other."""
+    terms = terms.assign(size=terms["term"].str.rstrip("*").str.len()).sort_values(["gain", "size", "term"], ascending=[False, False, True])
+    kept: dict[str, int] = {}
+    for term, toxic in zip(terms["term"], terms["t"]):
         base = term.rstrip("*")
         if any(k[-1] == "*" and base.startswith(k[:-1]) for k in kept):
             continue
-        if stem and any(k.startswith(base) and n >= 0.8 * toxic for k, (_, n) in kept.items()):
+        if term[-1] == "*" and any(k.startswith(base) and n >= 0.8 * toxic for k, n in kept.items()):
             continue
-        kept[term] = (r["weight"], toxic)
-    return {t: w for t, (w, _) in kept.items()}
+        kept[term] = toxic
+    return terms[terms["term"].isin(list(kept))][["term", "t", "gain", "weight"]]
 
 
 def sketch(text: str | None) -> list[int]:
@@ -307,7 +364,8 @@ def learn_misspellings(sample: DataFrame, lexicon: dict[str, float]) -> dict[str
         for b in batches:
             own = _lexicon(fixed)
             for text, label in arrow_rows(b, "full_text", "toxic"):
-                found.update((t, bool(label)) for t in {own.misspelt(w) for w in word_set(text)} - {None})
+                near = {entry[:-1] for piece in pieces(text or "") for _, _, entry, _ in hits(piece.lower(), own) if entry[-1] == "~"}
+                found.update((t, bool(label)) for t in near)
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
                                           pa.array([found[k] for k in keys], pa.int64())], ["term", "toxic", "n"])
