@@ -139,7 +139,10 @@ def keep_one_per_group(transcripts: DataFrame, transcript_id: str = "transcript_
     Rows that share an id are one document and stay together unless they are equal rows, of which
     one stays. Rows with a null id are kept.
     """
-    groups = near_duplicate_transcripts(transcripts, transcript_id, full_text, radius, words)
+    return _keep_least(transcripts, near_duplicate_transcripts(transcripts, transcript_id, full_text, radius, words), transcript_id)
+
+
+def _keep_least(transcripts: DataFrame, groups: DataFrame, transcript_id: str) -> DataFrame:
     groups = materialize(groups.groupBy("transcript_id").agg(
         F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     key = F.col(f"`{transcript_id}`")
