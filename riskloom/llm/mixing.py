@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.texts import WORD_CLASS, only
 from riskloom.session import materialize
 
+BETWEEN = WORD_CLASS.replace("^", "").replace("+", "*")
 LEVELS = ("main_topics", "detected_language", "transcription_model")
 
 
@@ -144,3 +145,28 @@ def repeat_chosen(transcripts: DataFrame, chosen: DataFrame, transcript_id: str
     met = transcripts.join(times, same)
     return met.select(*[transcripts[f"`{c}`"] for c in transcripts.columns],
                       F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+
+
+def take_chosen(transcripts: DataFrame, chosen: DataFrame, transcript_id: str = "transcript_id", full_text: str = "full_text",
+                main_topics: str | Column = "main_topics", detected_language: str = "detected_language",
+                transcription_model: str = "transcription_model") -> DataFrame:
+    """The transcripts with all their columns, once for each row of `chosen`, cut after its `taken` tokens.
+
+    So the tokens of each leaf are its budget. Copies of a row are numbered on both sides, and as many
+    of them are taken as were chosen in each pass. What is left of a text keeps its blanks.
+    """
+    level = main_topics if isinstance(main_topics, Column) else F.col(f"`{main_topics}`")
+    text = F.col(f"`{full_text}`")
+    own = [F.col(f"`{transcript_id}`"), F.xxhash64(text), *[F.coalesce(c.cast("string"), F.lit("")) for c in (
+        level, F.col(f"`{detected_language}`"), F.col(f"`{transcription_model}`"))]]
+    theirs = [F.col(c) for c in ("transcript_id", "text_key", *LEVELS)]
+    numbered = transcripts.withColumn("_copy", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
+    passes = chosen.withColumn("copy", F.row_number().over(Window.partitionBy(*theirs, "epoch").orderBy(F.col("taken").desc()))).select(
+        *[c.alias(f"_key{i}") for i, c in enumerate(theirs)], F.col("copy").alias("_number"), F.col("tokens").alias("_tokens"), F.col("taken").alias("_taken"))
+    same = (F.col("_copy") == F.col("_number")) & own[0].eqNullSafe(F.col("_key0"))
+    for i, column in enumerate(own[1:], 1):
+        same = same & (column == F.col(f"_key{i}"))
+    # Each piece is a word with the blanks before it.
+    words = F.regexp_extract_all(text, F.lit(BETWEEN + WORD_CLASS), F.lit(0))
+    cut = F.when(F.col("_taken") < F.col("_tokens"), F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), "")).otherwise(text)
+    return numbered.join(passes, same).select(*[cut.alias(c) if c == full_text else F.col(f"`{c}`") for c in transcripts.columns])
