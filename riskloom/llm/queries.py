@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import materialize
-from riskloom.llm import (ctw_texts, decontamination, mixing, pii, simhash, token_codec, token_rollup, topk, toxicity, warc)
+from riskloom.llm import (ctw_texts, decontamination, infill, mixing, pii, runs, simhash, token_codec, token_rollup, topk, toxicity, url_rules, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,78 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op10_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     found = topk.nearest_customers(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, customer_id="vec_id", features="embedding")
     return found.select("query_id", "rank", F.col("customer_id").alias("vec_id"), "score")
+
+
+# ---------------------------------------------------------------- 11: periodic runs
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents of the query: where crc32(doc_id) ends in 0, the words from a on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
+    drawn = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    drawn = drawn.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    drawn = drawn.withColumn("p", F.when(F.col("n") > 0, F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int") + 1))
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(
+        F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))))
+    return drawn.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.slice(repeated, F.lit(1), F.col("n")), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.transcript_runs(with_planted_runs(read(spark, folder, "documents").select("doc_id", "text")), **DOCUMENT)
+    found = found.withColumn("best", runs.longest_run())
+    length, period = F.col("best.length"), F.col("best.period")
+    return found.select(F.col("transcript_id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"),
+                        length.alias("length"), period.alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        runs.runs_digest().alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# ---------------------------------------------------------------- 12: fill in the middle
+
+INFILL_SQL = r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+   sha256('7:' || doc_id::VARCHAR) AS d FROM documents),
+drawn AS (SELECT doc_id, body, u, len(u)::BIGINT AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[25:32])::BIGINT AS h4,
+   body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') AS plain FROM cut),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN plain THEN NULL ELSE length(p) END::BIGINT AS prefix_chars, CASE WHEN plain THEN NULL ELSE length(m) END::BIGINT AS middle_chars,
+   sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+   sha256(body) AS restored_sha256 FROM parts
+""".replace("\\n", "\n")
+
+
+@query("op12_fill_in_middle", INFILL_SQL)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.restore_transcripts(infill.fill_in_middle(read(spark, folder, "documents"), seed="7", **DOCUMENT))
+    return made.select(F.col("transcript_id").alias("doc_id"), F.col("n_lines").alias("n"), "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("full_text").cast("binary"), 256).alias("restored_sha256"))
+
+
+# ---------------------------------------------------------------- 13: address rules
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+URL_SQL = f"""
+WITH cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+parsed AS (SELECT page_id, translate(coalesce(regexp_extract(tail, '^[^/?#]*'), ''), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host,
+   coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+rules(rule_host, rule_path, v) AS (SELECT * FROM (VALUES {_RULE_ROWS}) r)
+SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host) * 10000 + length(rule_path)) AS rule,
+   coalesce(arg_max(v, length(rule_host) * 10000 + length(rule_path)), 'allow') AS verdict
+FROM (SELECT row_number() OVER () AS row, * FROM parsed) LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY row, page_id, host, path
+"""
+
+
+@query("op13_url_rules", URL_SQL)
+def op13_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} r(host, path, verdict)")
+    judged = url_rules.judge_events(read(spark, folder, "pages"), rules, event_id="page_id", page_url="url")
+    return judged.select(F.col("event_id").alias("page_id"), "host", "path", "rule", "verdict")
