@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import haversine_km, micros, ratio
 from riskloom.functions.text import present
+from riskloom.operators.order_statistics import above_prior_median, above_prior_median_in_chunks
 from riskloom.operators.scaling import oversized_groups, running_in_chunks, small_side
 from riskloom.session import materialize
 from riskloom.sources.logical import has_usd_amount, history, logical_transactions, model_score_scale
@@ -48,11 +49,8 @@ class RuleSettings:
     weight_burst: int = 25
     weight_declines: int = 20
     weight_travel: int = 35
-    # Customers with more transactions than this leave the window functions: the running median of
-    # an ordinary customer costs time with the square of its history.
-    large_customer: int = 2_000
-    # Rows of a large customer that one share of the median count should hold.
-    rows_per_share: int = 200_000
+    # Customers with more transactions than a task should sort leave the window functions.
+    large_customer: int = 200_000
 
 
 DEFAULTS = RuleSettings()
@@ -105,12 +103,11 @@ def _facts_ordinary(rows: DataFrame, settings: RuleSettings) -> DataFrame:
 
     one = F.lit(1)
     last = F.last(F.when(F.col("_located"), F.struct("lat", "lon", "_us")), ignorenulls=True).over(before)
-    return (rows.withColumns({
+    facts = (rows.withColumns({
         "prior_n": F.row_number().over(ordered) - 1,
         "amt_n": F.count("_amt").over(before),
         "amt_mean": F.avg("_amt").over(before),
         "amt_std": F.stddev_pop("_amt").over(before),
-        "above_median": F.coalesce(F.col("_amt") > F.percentile("_amt", F.lit(0.5)).over(before), F.lit(False)),
         "night_prior": F.coalesce(F.sum("_night").over(before), F.lit(0)),
         "has_time": F.max("_timed").over(customer),
         "customer_last": F.max("timestamp").over(customer),
@@ -121,6 +118,8 @@ def _facts_ordinary(rows: DataFrame, settings: RuleSettings) -> DataFrame:
                     "new_category": first_of("category")})
       .withColumns({"last_lat": F.col("_last.lat"), "last_lon": F.col("_last.lon"), "last_us": F.col("_last._us")})
       .drop("_last"))
+    above = F.col("new_category") & F.coalesce(F.array_contains("_above", F.col("category")), F.lit(False))
+    return facts.join(_categories_above_median(rows), "customer", "left").withColumn("above_median", above).drop("_above")
 
 
 def _first_occurrences(rows: DataFrame) -> DataFrame:
@@ -135,35 +134,24 @@ def _first_occurrences(rows: DataFrame) -> DataFrame:
     return stacked.groupBy("_row").agg(*[F.max(f"new_{n}").alias(f"new_{n}") for n in ("country", "city", "category")])
 
 
-def _above_prior_median(rows: DataFrame, settings: RuleSettings) -> DataFrame:
+def _above_prior_median(rows: DataFrame) -> DataFrame:
     """(_row, above_median) for the rows that start a category, the only rows that need it.
 
-    The median is not built: the amount exceeds it exactly when enough earlier amounts are smaller,
-    and in the one open case (an even number split in half) the two middle amounts decide. Each
-    task counts over its share of the history, so only one row per candidate and task is shuffled.
-    The shares are cut by a hash of the id and grow with the customer, so that a hot customer is
-    spread over many tasks and a smaller one is not multiplied.
+    A category may start with a row without amount; such a row is no probe, and no later one is.
     """
-    shares = F.floor(F.col("_size") / settings.rows_per_share).cast("int") + 1
-    candidates = (rows.filter(present(F.col("category")) & F.col("_amt").isNotNull())
-                      .groupBy("customer", "category", "_size").agg(F.min(F.struct("_us", "id", "_row", "_amt")).alias("c")))
-    # A category may start with a row without amount; such a row is no candidate and must not hide
-    # behind a later one, so candidates are matched with the real first occurrences afterwards.
-    spread = candidates.select("customer", F.col("c._row").alias("c_row"), F.col("c.id").alias("cid"), F.col("c._us").alias("c_us"),
-                               F.col("c._amt").alias("c_amt"),
-                               F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-    prior = rows.filter(F.col("_amt").isNotNull()).select(
-        "customer", "id", "_row", "_us", "_amt", F.pmod(F.xxhash64("_row"), shares).cast("int").alias("share"))
-    pairs = prior.join(spread, ["customer", "share"]).filter(
-        F.struct("_us", "id", "_row") < F.struct(F.col("c_us").alias("_us"), F.col("cid").alias("id"), F.col("c_row").alias("_row")))
-    below = F.col("_amt") < F.col("c_amt")
-    counted = pairs.groupBy(F.col("c_row").alias("_row"), "c_amt").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(below).alias("below"),
-        F.max(F.when(below, F.col("_amt"))).alias("lower"), F.min(F.when(~below, F.col("_amt"))).alias("upper"))
-    half = F.floor(F.col("n") / 2)
-    split = (F.col("n") % 2 == 0) & (F.col("below") == half)
-    above = F.when(split, F.col("c_amt") > (F.col("lower") + F.col("upper")) / 2).otherwise(F.col("below") > half)
-    return counted.select("_row", above.alias("above_median"))
+    starts = rows.filter(present(F.col("category"))).groupBy("customer", "category").agg(F.min(F.struct("_us", "id", "_row", "_amt")).alias("c"))
+    probes = starts.filter("c._amt IS NOT NULL").select("customer", F.col("c._row").alias("_row"))
+    found = above_prior_median_in_chunks(rows, materialize(probes, "category-starts"), "customer", ["_us", "id"], "_row", "_amt")
+    return found.withColumnRenamed("above", "above_median")
+
+
+def _categories_above_median(rows: DataFrame) -> DataFrame:
+    """(customer, _above): the categories whose first transaction exceeds the median of the earlier ones, of
+    customers that fit a task. Read by a join on the customer, by whom everything is partitioned."""
+    rank = F.row_number().over(Window.partitionBy("customer", "category").orderBy("_us", "id"))
+    marked = rows.select("customer", "_us", "id", "_amt", "category").withColumn("_first", present(F.col("category")) & (rank == 1))
+    found = above_prior_median(marked, "customer", ["_us", "id"], F.col("category"), F.col("_first"), "_amt")
+    return found.filter("above").groupBy("customer").agg(F.collect_set("probe").alias("_above"))
 
 
 def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> DataFrame:
@@ -174,7 +162,7 @@ def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> Dat
       the row minus the one at the probe is the number of transactions in between.
     * First occurrences: the minimum per value, matched back by row.
     * A deviation of zero is found by counting: no earlier amount differs from the customer's first.
-    * Median: see `_above_prior_median`.
+    * Median: see `order_statistics`.
     """
     per_customer = rows.groupBy("customer").agg(
         F.count(F.lit(1)).alias("_size"), F.avg("_amt").alias("_level"),
@@ -213,7 +201,7 @@ def _facts_large(rows: DataFrame, customers: int, settings: RuleSettings) -> Dat
         (value(at_row, "declined") - value(at_probe, "declined")).alias("recent_declines"),
         value(at_row, "point").alias("_last"))
     firsts = _first_occurrences(rows)
-    medians = _above_prior_median(rows, settings)
+    medians = _above_prior_median(rows)
     mean = ratio(F.col("_s"), F.col("amt_n"))
     variance = ratio(F.col("_q"), F.col("amt_n")) - mean * mean
     no = F.lit(False)

@@ -86,7 +86,7 @@ RULES = ["amount", "country", "city", "category", "night", "burst", "declines",
 @pytest.mark.parametrize("burst", [10, 60])
 def test_rules_equal_brute_force(spark, large_customer, burst):
     rows = histories()
-    settings = replace(R.DEFAULTS, burst_minutes=burst, large_customer=large_customer, rows_per_share=25)
+    settings = replace(R.DEFAULTS, burst_minutes=burst, large_customer=large_customer)
     scored = R.score_transactions(spark.createDataFrame(rows, SCHEMA), settings, keep_hits=True)
     got = {r["id"]: {name for name in RULES if r[f"hit_{name}"]} for r in scored.collect()}
     expected = brute_force(rows, burst)
@@ -167,7 +167,7 @@ def subscription_rows():
 
 @pytest.mark.parametrize("limit", [2_000, 59, 1])
 def test_constant_amounts_and_missing_ids_are_alike_on_both_paths(spark, limit):
-    settings = replace(R.DEFAULTS, large_customer=limit, rows_per_share=7)
+    settings = replace(R.DEFAULTS, large_customer=limit)
     scored = R.score_transactions(spark.createDataFrame(subscription_rows(), SCHEMA), settings, keep_hits=True)
     assert scored.count() == 1200
     assert scored.filter("hit_amount").count() == 0          # nothing deviates before, so there is no deviation to exceed
