@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import only
+from riskloom.llm.texts import free_names, only
 from riskloom.session import materialize, materialize_counted
 from riskloom.operators.scaling import small_side
 
@@ -119,6 +119,7 @@ def without_contaminated(transcripts: DataFrame, complaints: DataFrame, transcri
                          ) -> DataFrame:
     """The transcripts that are not contaminated, with all their columns; rows with a null id are judged alike."""
     judged = contamination(transcripts, complaints, transcript_id, full_text, complaint_id, description)
-    bad = judged.filter("contaminated").select(F.col("transcript_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
-    same = F.col(f"`{transcript_id}`").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(f"`{full_text}`")) == F.col("_key"))
+    own_id, own_key = free_names(transcripts, "bad_id", "bad_key")
+    bad = judged.filter("contaminated").select(F.col("transcript_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    same = F.col(f"`{transcript_id}`").eqNullSafe(F.col(f"`{own_id}`")) & (F.xxhash64(F.col(f"`{full_text}`")) == F.col(f"`{own_key}`"))
     return transcripts.join(bad, same, "left_anti")

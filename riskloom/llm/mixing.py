@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import WORD_CLASS, only
+from riskloom.llm.texts import WORD_CLASS, free_names, only
 from riskloom.session import materialize
 
 BETWEEN = WORD_CLASS.replace("^", "").replace("+", "*")
@@ -136,17 +136,6 @@ def _prefix(part: DataFrame, levels: list[str]) -> DataFrame:
     return chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
 
 
-def repeat_chosen(transcripts: DataFrame, chosen: DataFrame, transcript_id: str = "transcript_id", full_text: str = "full_text"
-                  ) -> DataFrame:
-    """The transcripts with all their columns, each as often as passes chose it."""
-    times = chosen.groupBy(F.col("transcript_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.size(F.collect_set("epoch")).alias("_times"))
-    same = F.col(f"`{transcript_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{full_text}`")) == F.col("_key"))
-    met = transcripts.join(times, same)
-    return met.select(*[transcripts[f"`{c}`"] for c in transcripts.columns],
-                      F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
-
-
 def take_chosen(transcripts: DataFrame, chosen: DataFrame, transcript_id: str = "transcript_id", full_text: str = "full_text",
                 main_topics: str | Column = "main_topics", detected_language: str = "detected_language",
                 transcription_model: str = "transcription_model") -> DataFrame:
@@ -160,13 +149,14 @@ def take_chosen(transcripts: DataFrame, chosen: DataFrame, transcript_id: str =
     own = [F.col(f"`{transcript_id}`"), F.xxhash64(text), *[F.coalesce(c.cast("string"), F.lit("")) for c in (
         level, F.col(f"`{detected_language}`"), F.col(f"`{transcription_model}`"))]]
     theirs = [F.col(c) for c in ("transcript_id", "text_key", *LEVELS)]
-    numbered = transcripts.withColumn("_copy", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
-    passes = chosen.withColumn("copy", F.row_number().over(Window.partitionBy(*theirs, "epoch").orderBy(F.col("taken").desc()))).select(
-        *[c.alias(f"_key{i}") for i, c in enumerate(theirs)], F.col("copy").alias("_number"), F.col("tokens").alias("_tokens"), F.col("taken").alias("_taken"))
-    same = (F.col("_copy") == F.col("_number")) & own[0].eqNullSafe(F.col("_key0"))
-    for i, column in enumerate(own[1:], 1):
-        same = same & (column == F.col(f"_key{i}"))
+    copy, number, tokens, taken, *keys = free_names(transcripts, "copy", "number", "tokens", "taken", *[f"key{i}" for i in range(len(theirs))])
+    numbered = transcripts.withColumn(copy, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
+    passes = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*theirs, "epoch").orderBy(F.col("taken").desc()))).select(
+        *[c.alias(n) for c, n in zip(theirs, keys)], F.col("place").alias(number), F.col("tokens").alias(tokens), F.col("taken").alias(taken))
+    same = (F.col(f"`{copy}`") == F.col(f"`{number}`")) & own[0].eqNullSafe(F.col(f"`{keys[0]}`"))
+    for key, column in zip(keys[1:], own[1:]):
+        same = same & (column == F.col(f"`{key}`"))
     # Each piece is a word with the blanks before it.
     words = F.regexp_extract_all(text, F.lit(BETWEEN + WORD_CLASS), F.lit(0))
-    cut = F.when(F.col("_taken") < F.col("_tokens"), F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), "")).otherwise(text)
+    cut = F.when(F.col(f"`{taken}`") < F.col(f"`{tokens}`"), F.array_join(F.slice(words, F.lit(1), F.col(f"`{taken}`").cast("int")), "")).otherwise(text)
     return numbered.join(passes, same).select(*[cut.alias(c) if c == full_text else F.col(f"`{c}`") for c in transcripts.columns])

@@ -1,8 +1,14 @@
 """Near-duplicate call transcripts by the shares of their five-word shingles.
 
-Two texts are linked when at least 0.8 of all their different shingles are in both. Candidates agree
-in one of BANDS bands of ROWS minima of mixed shingle hashes, and are then compared shingle by
-shingle: a pair at 0.8 misses all bands in one of twenty million cases, a more similar one yet less.
+Two texts are linked when at least 0.8 of all their different shingles are in both. Candidates are
+found twice. First come the texts whose SimHash fingerprints are linked (`simhash.links`, covering masks), which
+are nearly all copies and join most of each group at little cost. Then come all texts that agree in one of
+BANDS bands of ROWS minima of mixed shingle hashes, where a bucket still holds texts that are not joined: a pair at 0.8
+misses all bands in one of twenty million cases, a more similar one yet less. Both kinds of candidates
+are compared shingle by shingle.
+
+Buckets hold keys only. The words of a text are fetched for the comparison, once for each unit it takes part in,
+and shingles are never written.
 """
 
 from __future__ import annotations
@@ -16,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.graph import components
-from riskloom.llm.simhash import _keep_least
+from riskloom.llm import simhash
 from riskloom.llm.texts import arrow_rows, lowered_words, only
 from riskloom.session import materialize
 
 WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 32, 4
-# Members compared at once in one bucket; larger buckets are compared block against block.
-BLOCK = 512
+# Members and bytes compared at once in one bucket; larger buckets are compared block against block.
+BLOCK, BYTES = 512, 16 << 20
 _rng = np.random.default_rng(42)
 _ADD, _TIMES = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
@@ -60,63 +66,103 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * down >= up * (len(a) + len(b) - both)
 
 
-def spanning(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the similar pairs: as many components, no more links."""
-    left, found = list(range(len(keys))), []
+def majority(shingles: np.ndarray) -> int:
+    """The SimHash fingerprint of the different shingles, as a signed number."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        bits = np.unpackbits(shingles[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def spanning(keys: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between similar members that join all groups that similarity joins, no more than are needed.
+    Members of one root are joined already."""
+    left: dict[int, list[int]] = {}
+    for i, root in enumerate(roots):
+        left.setdefault(root, []).append(i)
+    found = []
     while left:
-        front, left = [left[0]], left[1:]
+        _, front = left.popitem()
         while front and left:
-            at, rest = front.pop(), []
-            for x in left:
-                if similar(sets[at], sets[x]):
-                    found.append((keys[at], keys[x]))
-                    front.append(x)
-                else:
-                    rest.append(x)
-            left = rest
+            at = front.pop()
+            for root in list(left):
+                met = next((x for x in left[root] if similar(sets[at], sets[x])), None)
+                if met is not None:
+                    found.append((keys[at], keys[met]))
+                    front += left.pop(root)
     return found
 
 
+def _compared(members: DataFrame, texts: DataFrame, every_pair: bool) -> DataFrame:
+    """Links (a, b) between similar keys of one bucket, from members (t, k, key, root, size) and texts (key, words).
+
+    Buckets of one root are left out, as are those with the same members as another one. Large buckets are cut into
+    blocks by count and bytes. With `every_pair` each block meets every other one; otherwise each block is compared
+    within itself and with the smallest key of the bucket.
+    """
+    sizes = members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("least"),
+                                          F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    buckets = sizes.filter("r0 != r1").groupBy("n", "bytes", "least", "same").agg(F.min(F.struct("t", "k")).alias("b")).select(
+        "b.t", "b.k", "least", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BYTES)).cast("int").alias("parts"))
+    placed = members.join(buckets, ["t", "k"]).withColumn("own", F.pmod(F.xxhash64("key", "t"), F.col("parts")).cast("int"))
+    blocks = F.sequence(F.lit(0), F.col("parts") - 1)
+    met = blocks if every_pair else F.when(F.col("key") == F.col("least"), blocks).otherwise(F.array("own"))
+    units = placed.select("t", "k", "key", "root", "own", F.explode(met).alias("other"))
+    i, j = (F.least("own", "other"), F.greatest("own", "other")) if every_pair else (F.col("other"), F.lit(0))
+    units = materialize(units.select("t", "k", i.alias("i"), j.alias("j"), "key", "root"), "shingle-units")
+    wanted = texts.join(units.select("key").distinct(), "key", "left_semi")
+    grouped = units.join(wanted, "key").groupBy("t", "k", "i", "j").agg(F.collect_list(F.struct("key", "root", "words")).alias("members"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (own,), = arrow_rows(batch.slice(at, 1), "members")
+                pairs = spanning([m["key"] for m in own], [m["root"] for m in own], [shingle_set(m["words"]) for m in own])
+                a, b = zip(*pairs) if pairs else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialize(grouped.select("members").mapInArrow(compare, "a bigint, b bigint").distinct(), "shingle-links")
+
+
 def near_copies(transcripts: DataFrame, transcript_id: str = "transcript_id", full_text: str = "full_text") -> DataFrame:
     """(transcript_id, component_id), one row per row of the input: the smallest id of those linked to it.
 
     Null, empty and blank texts are equal to each other. A null id takes part but is never a
     component_id unless its group has no other.
     """
-    rows = only(transcripts, transcript_id=transcript_id, full_text=full_text)
+    rows = only(transcripts, transcript_id=transcript_id, full_text=full_text).withColumn("text_key", F.xxhash64("full_text"))
     kind = rows.schema["transcript_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("transcript_id"))
-            for at, (text,) in enumerate(arrow_rows(batch, "full_text")):
+            keys, prints, bands, sizes = [], [], [], []
+            for (text,) in arrow_rows(batch, "full_text"):
                 shingles = shingle_set(text)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 1), pa.array([xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)], pa.int64()),
-                     pa.array([bands_of(shingles)], pa.list_(pa.int64())), pa.array([shingles.tobytes()], pa.binary())],
-                    ["transcript_id", "key", "bands", "shingles"])
-
-    found = materialize(rows.mapInArrow(run, f"transcript_id {kind}, key bigint, bands array<bigint>, shingles binary"), "shingles")
-    owners = materialize(found.groupBy("key").agg(F.min("transcript_id").alias("least_id"), F.first("bands").alias("bands")), "shingle-keys")
-    keyed = owners.select("key", F.posexplode("bands").alias("t", "k"))
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = materialize(keyed.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")), "shingle-buckets")
-    # Only texts that share a bucket carry their shingles along, one of each set.
-    wanted = found.join(placed.select("key").distinct(), "key", "left_semi").select("key", "shingles").dropDuplicates(["key"])
-    own = F.pmod(F.xxhash64("key", "t"), F.col("parts")).cast("int").alias("own")
-    units = placed.select("t", "k", "key", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(wanted, "key").groupBy(
-        "t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("key", "shingles")).alias("members"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (members,), = arrow_rows(batch.slice(at, 1), "members")
-                pairs = spanning([m["key"] for m in members], [np.frombuffer(m["shingles"], np.uint64) for m in members])
-                a, b = zip(*pairs) if pairs else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                keys.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+                prints.append(majority(shingles))
+                bands.append(bands_of(shingles))
+                sizes.append(8 * len(shingles) + len(text or ""))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(c)) for c in ("transcript_id", "text_key")], pa.array(keys, pa.int64()),
+                 pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["transcript_id", "text_key", "key", "fingerprint", "bands", "size"])
+
+    found = materialize(rows.mapInArrow(run, f"transcript_id {kind}, text_key bigint, key bigint, fingerprint bigint, bands array<bigint>, size bigint"),
+                        "shingle-keys")
+    owners = materialize(found.groupBy("key").agg(*[f(c).alias(n) for f, c, n in (
+        (F.min, "transcript_id", "least_id"), (F.min, "text_key", "text_key"), (F.first, "fingerprint", "fingerprint"), (F.first, "bands", "bands"),
+        (F.max, "size", "size"))]), "shingle-owners")
+    texts = rows.select("text_key", "full_text").join(owners.select("key", "text_key"), "text_key").groupBy("key").agg(F.first("full_text").alias("words"))
+
+    close = components(simhash.links(owners.select("fingerprint")))
+    grouped = owners.join(close, F.col("fingerprint") == F.col("node"), "left")
+    first = _compared(grouped.select(F.lit(-1).alias("t"), F.coalesce("root", "fingerprint").alias("k"), "key", F.col("key").alias("root"), "size"), texts, False)
+    joined = components(first)
+    keyed = owners.join(joined, F.col("key") == F.col("node"), "left").select("key", "size", F.coalesce("root", "key").alias("root"), "bands")
+    keyed = materialize(keyed.select("key", "size", "root", F.posexplode("bands").alias("t", "k")), "shingle-buckets")
+    roots = components(first.unionByName(_compared(keyed, texts, True)))
 
-    roots = components(units.select("members").mapInArrow(compare, "a bigint, b bigint"))
     rooted = owners.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return found.select("transcript_id", "key").join(rooted.join(named, "root").select("key", "component_id"), "key").select(
@@ -125,4 +171,4 @@ def near_copies(transcripts: DataFrame, transcript_id: str = "transcript_id", fu
 
 def keep_one_per_group(transcripts: DataFrame, transcript_id: str = "transcript_id", full_text: str = "full_text") -> DataFrame:
     """The transcripts without those that have a near copy with a smaller id, as `simhash.keep_one_per_group`."""
-    return _keep_least(transcripts, near_copies(transcripts, transcript_id, full_text), transcript_id)
+    return simhash.keep_least(transcripts, near_copies(transcripts, transcript_id, full_text), transcript_id)

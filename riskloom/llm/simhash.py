@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.graph import components
-from riskloom.llm.texts import arrow_rows, lowered_words, only
+from riskloom.llm.texts import arrow_rows, free_names, lowered_words, only
 from riskloom.session import materialize
 
 BITS = 64
@@ -139,17 +139,18 @@ def keep_one_per_group(transcripts: DataFrame, transcript_id: str = "transcript_
     Rows that share an id are one document and stay together unless they are equal rows, of which
     one stays. Rows with a null id are kept.
     """
-    return _keep_least(transcripts, near_duplicate_transcripts(transcripts, transcript_id, full_text, radius, words), transcript_id)
+    return keep_least(transcripts, near_duplicate_transcripts(transcripts, transcript_id, full_text, radius, words), transcript_id)
 
 
-def _keep_least(transcripts: DataFrame, groups: DataFrame, transcript_id: str) -> DataFrame:
+def keep_least(transcripts: DataFrame, groups: DataFrame, transcript_id: str) -> DataFrame:
+    """The transcripts whose component_id in `groups` (transcript_id, component_id) is their own id."""
     groups = materialize(groups.groupBy("transcript_id").agg(
         F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
-    key = F.col(f"`{transcript_id}`")
-    rejected = groups.filter("component_id < transcript_id").select(F.col("transcript_id").alias("_rejected"))
-    kept = transcripts.join(rejected, key == F.col("_rejected"), "left_anti")
-    repeated = groups.filter("n > 1 AND transcript_id IS NOT NULL").select(F.col("transcript_id").alias("_repeated"))
+    key, (other,) = F.col(f"`{transcript_id}`"), free_names(transcripts, "other_id")
+    rejected = groups.filter("component_id < transcript_id").select(F.col("transcript_id").alias(other))
+    kept = transcripts.join(rejected, key == F.col(f"`{other}`"), "left_anti")
+    repeated = groups.filter("n > 1 AND transcript_id IS NOT NULL").select(F.col("transcript_id").alias(other))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, key == F.col("_repeated"), "left_anti")
-    return once.unionByName(kept.join(repeated, key == F.col("_repeated"), "left_semi").distinct())
+    once = kept.join(repeated, key == F.col(f"`{other}`"), "left_anti")
+    return once.unionByName(kept.join(repeated, key == F.col(f"`{other}`"), "left_semi").distinct())

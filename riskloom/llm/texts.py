@@ -46,3 +46,14 @@ def remainder(key: Column, parts: int) -> Column:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names, whatever else the table holds."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to differ from all columns of the table."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found

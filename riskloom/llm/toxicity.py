@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import arrow_rows, lowered_words, only, pieces, remainder
+from riskloom.llm.texts import arrow_rows, free_names, lowered_words, only, pieces, remainder
 from riskloom.session import materialize
 
 MIN_WORD, MIN_FUZZY = 3, 5
@@ -456,5 +456,6 @@ def without_toxic(transcripts: DataFrame, labels: DataFrame, transcript_id: str
     Rows that share an id go if one of them is toxic; rows with a null id are kept.
     """
     scored = score_transcripts(transcripts, labels, transcript_id, full_text, labelled_id, toxic)
-    bad = materialize(scored.filter("predicted = 1").select(F.col("transcript_id").alias("_toxic")).distinct(), "toxic")
-    return transcripts.join(bad, F.col(f"`{transcript_id}`") == F.col("_toxic"), "left_anti")
+    (name,) = free_names(transcripts, "toxic_id")
+    bad = materialize(scored.filter("predicted = 1").select(F.col("transcript_id").alias(name)).distinct(), "toxic")
+    return transcripts.join(bad, F.col(f"`{transcript_id}`") == F.col(f"`{name}`"), "left_anti")

@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLASHING = ("word", "n", "fingerprint", "part", "tokens", "a", "b", "toxic", "score", "k", "t", "at", "start", "items", "budget", "h")
+CLASHING = ("word", "n", "fingerprint", "part", "tokens", "a", "b", "toxic", "score", "k", "t", "at", "start", "items", "budget", "h", "copy", "number",
+            "taken", "key0", "key1", "other_id", "toxic_id", "bad_id", "bad_key", "_copy", "_number", "_taken", "_tokens", "_key", "_key0", "_bad", "_toxic",
+            "_rejected", "_repeated", "key", "text_key", "size", "bands", "root", "component_id", "epoch", "row", "drawn", "value", "path", "content", "predicted",
+            "contaminated", "h1", "h2", "words", "n_words", "piece", "file")
 
 
 def with_clashes(df: DataFrame) -> DataFrame:

@@ -115,16 +115,6 @@ def test_odd_tables(spark):
     assert sorted((r.transcript_id or 0, r.epoch) for r in got) == sorted([(1, e) for e in (0, 1)] * 3 + [(i, e) for i in (0, 2) for e in (0, 1)])
 
 
-def test_chosen_rows_are_repeated_with_all_columns(spark):
-    source = table(spark, some_rows(9))
-    chosen = mixing.mix_transcripts(source, budget=2500, epochs=2)
-    repeated = mixing.repeat_chosen(source, chosen)
-    assert repeated.columns == source.columns
-    assert sorted((r.transcript_id, r["count"]) for r in repeated.groupBy("transcript_id").count().collect()) == sorted(
-        (r.transcript_id, r["count"]) for r in chosen.groupBy("transcript_id").count().collect())
-    assert repeated.join(source.select("transcript_id", F.col("full_text").alias("own")), "transcript_id").filter("NOT full_text <=> own").count() == 0
-
-
 def test_no_python_in_the_plan(spark, capsys):
     mixing.mix_transcripts(table(spark, some_rows(1))).explain("formatted")
     plan = capsys.readouterr().out

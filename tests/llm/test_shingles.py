@@ -35,6 +35,13 @@ def planted(seed=4):
     return rows + [(900, None), (901, ""), (902, "uno dos"), (903, "Uno  dos")]
 
 
+def test_members_of_one_root_are_not_compared():
+    sets = [np.arange(n, n + 100, dtype=np.uint64) for n in (0, 1, 2, 500, 501)]
+    assert shingles.spanning([1, 2, 3, 4, 5], [7, 7, 7, 7, 7], sets) == []
+    assert len(shingles.spanning([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], sets)) == 3
+    assert len(shingles.spanning([1, 2, 3, 4, 5], [1, 1, 3, 4, 4], sets)) == 1
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_groups_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(shingles, "BLOCK", block)
