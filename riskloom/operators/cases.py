@@ -27,11 +27,11 @@ FALLBACK_TRANSACTIONS = 3
 QUEUE_LIMIT = 50
 
 
-def pending_queue(queue: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
-    """Pending customers with their highest score, in the order of their ids."""
+def pending_queue(queue: DataFrame, limit: int | None = QUEUE_LIMIT) -> DataFrame:
+    """Pending customers with their highest score: the first by id, or all of them without a limit."""
     pending = queue.filter(F.col("processed_at").isNull()).groupBy("customer_id").agg(
         F.max("anomaly_score").alias("anomaly_score"))
-    return pending.orderBy("customer_id").limit(limit)
+    return pending if limit is None else pending.orderBy("customer_id").limit(limit)
 
 
 def queue_state(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -212,3 +212,14 @@ def case_status_fold(events: DataFrame) -> DataFrame:
         F.max_by("status", F.when(F.col("status").isNotNull(), F.struct("at", "status"))).alias("status"),
         F.max_by("comment", F.when(F.col("comment").isNotNull(), F.struct("at", "comment"))).alias("customer_comment"),
         F.max("at").alias("updated_at"))
+
+
+def deciding_updates(events: DataFrame) -> DataFrame:
+    """The updates that `case_status_fold` still depends on, whatever comes later: per case the last with a
+    status, the last with a comment and the last of all. At most three rows of a case stay."""
+    row = F.struct("at", "status", "comment")
+    last = events.groupBy("case_id").agg(F.array_distinct(F.array_compact(F.array(
+        F.max_by(row, F.when(F.col("status").isNotNull(), F.struct("at", "status"))),
+        F.max_by(row, F.when(F.col("comment").isNotNull(), F.struct("at", "comment"))),
+        F.max_by(row, F.struct("at"))))).alias("rows"))
+    return last.select("case_id", F.inline("rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import platform
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -24,6 +25,7 @@ from riskloom.operators.currency import require_usd_rates
 from riskloom.operators.features import build_customer_features
 from riskloom.operators.scaling import union_all
 from riskloom.session import materialize
+from riskloom.snapshots import Change, State
 from riskloom.sources.files import currency_frames
 from riskloom.sources.logical import latest_profiles
 from riskloom.sources.tables import customers_with_products, transactions_in_window
@@ -156,6 +158,9 @@ def score_as_of(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str,
                 metrics: Sequence[str] = tuple(scoring.SCORED_METRICS), recent_days: int = RECENT_DAYS) -> ScoringResult:
     """Score the days that end on `as_of`. Nothing is written to the operational tables."""
     as_of, started = as_date(as_of), sinks.now()
+    if inside_training(model, as_of):
+        warnings.warn(f"the scored window ends on {as_of}, inside the training data of {model.metadata['model_version']}: "
+                      "its customers shaped the profiles they are compared with", stacklevel=2)
     wanted = model.profiles.sparkSession.createDataFrame([(m,) for m in metrics], "feature string")
     missing = sorted(r["feature"] for r in wanted.join(model.profiles, "feature", "left_anti").distinct().collect())
     if missing:
@@ -174,31 +179,45 @@ def inside_training(model: TrainedModel, as_of: dt.date | str) -> bool:
 
 
 def process_queue(ops: sinks.Operations, transactions: DataFrame, customers: DataFrame, opened: dt.date | str,
-                  days: int = DEFAULT_DAYS, limit: int = casework.QUEUE_LIMIT, contact_map: DataFrame | None = None,
+                  days: int = DEFAULT_DAYS, limit: int | None = casework.QUEUE_LIMIT, contact_map: DataFrame | None = None,
                   settings: rules.RuleSettings = rules.DEFAULTS) -> DataFrame:
-    """Open cases for pending customers and append the outcome of each queue row.
+    """Open cases for pending customers and append the outcome of each queue row; `limit` None takes all of them.
 
-    Cases are written before the outcomes, with ids that a repeated run finds again: a customer
-    whose case was written but whose outcome was not is reported as a duplicate of that case.
+    A second worker of the same customers finds their rows done and adds nothing.
     """
-    queue = casework.queue_state(ops.read("anomaly_queue"), ops.read("queue_outcomes"))
+    state = ops.store.state()
+    queue = casework.queue_state(ops.read("anomaly_queue", state), ops.read("queue_outcomes", state))
     requested = materialize(casework.pending_queue(queue, limit).select(
         "customer_id", F.lit("anomaly_model").alias("source"), "anomaly_score",
         F.lit(None).cast("string").alias("transaction_ids")), "requests")
+    return _work_off(ops, requested, transactions, customers, opened, days, contact_map, settings)
+
+
+def _work_off(ops: sinks.Operations, requested: DataFrame, transactions: DataFrame, customers: DataFrame, opened: dt.date | str,
+              days: int, contact_map: DataFrame | None, settings: rules.RuleSettings, queued: bool = True) -> DataFrame:
+    """Open the requested cases; links, cases and outcomes are published together. Returns the outcomes, or the new cases
+    where the customers did not come from the queue."""
     chosen = requested.select(F.col("customer_id").alias("customer"))
     scored = materialize(rules.score_transactions(transactions, settings, chosen), "scored")
-    profiles = latest_profiles(customers.join(requested, "customer_id", "left_semi"))
-    contacts = casework.contact_resolution(profiles, contact_map)
-    existing = materialize(ops.current_cases(), "existing-cases")
-    cases, links = casework.open_cases(requested, scored, analyze_window(scored, days), contacts, existing, opened,
-                                       contact_map is not None, settings)
-    cases = materialize(cases, "cases")
-    ops.append_new("case_transactions", links, ["case_id", "transaction_id"])
-    ops.append_new("fraud_cases", cases, ["case_id"])
-    outcomes = casework.queue_outcomes(queue, requested, cases, existing, F.lit(sinks.now()).cast("timestamp_ntz"))
-    outcomes = materialize(outcomes, "outcomes")
-    ops.append("queue_outcomes", outcomes)
-    return outcomes
+    contacts = casework.contact_resolution(latest_profiles(customers.join(requested, "customer_id", "left_semi")), contact_map)
+    window = analyze_window(scored, days)
+    result: list[DataFrame] = []
+
+    def prepare(now: State) -> list[Change]:
+        existing = materialize(ops.current_cases(now), "existing-cases")
+        cases, links = casework.open_cases(requested, scored, window, contacts, existing, opened, contact_map is not None, settings)
+        cases = materialize(cases, "cases")
+        changes = ops.new_rows("case_transactions", links, ["case_id", "transaction_id"], now) + ops.new_rows("fraud_cases", cases, ["case_id"], now)
+        result.append(cases)
+        if queued:
+            queue = casework.queue_state(ops.read("anomaly_queue", now), ops.read("queue_outcomes", now))
+            outcomes = casework.queue_outcomes(queue, requested, cases, existing, F.lit(sinks.now()).cast("timestamp_ntz"))
+            result.append(materialize(outcomes, "outcomes"))
+            changes += [] if result[-1].isEmpty() else [Change("queue_outcomes", ops.part("queue_outcomes", result[-1]))]
+        return changes
+
+    ops.store.commit(prepare)
+    return result[-1]
 
 
 def open_listed_cases(ops: sinks.Operations, listed: DataFrame, transactions: DataFrame, customers: DataFrame, opened: dt.date | str,
@@ -207,27 +226,25 @@ def open_listed_cases(ops: sinks.Operations, listed: DataFrame, transactions: Da
     """Cases for the customers of a file (customer_id, anomaly_score); returns the new ones."""
     requested = materialize(listed.groupBy("customer_id").agg(F.max("anomaly_score").alias("anomaly_score")).select(
         "customer_id", F.lit("anomaly_model").alias("source"), "anomaly_score", F.lit(None).cast("string").alias("transaction_ids")), "requests")
-    scored = materialize(rules.score_transactions(transactions, settings, requested.select(F.col("customer_id").alias("customer"))), "scored")
-    contacts = casework.contact_resolution(latest_profiles(customers.join(requested, "customer_id", "left_semi")), contact_map)
-    cases, links = casework.open_cases(requested, scored, analyze_window(scored, days), contacts, materialize(ops.current_cases(), "existing-cases"),
-                                       opened, contact_map is not None, settings)
-    cases = materialize(cases, "cases")
-    ops.append_new("case_transactions", links, ["case_id", "transaction_id"])
-    ops.append_new("fraud_cases", cases, ["case_id"])
-    return cases
+    return _work_off(ops, requested, transactions, customers, opened, days, contact_map, settings, queued=False)
 
 
 def escalate_cases(ops: sinks.Operations, cases: DataFrame, agents: DataFrame, at: dt.datetime) -> DataFrame:
     """Hand cases (case_id, customer_id, language, accent, country, hour, reason, summary) to the best agent.
 
-    The escalation is written first, under an id that follows from the case, then the new status; a
+    The escalation, under an id that follows from the case, and the new status are published together; a
     repeated call adds neither a second time.
     """
     rows = materialize(routing.escalations(cases, agents, F.lit(at).cast("timestamp_ntz")), "escalations")
-    ops.append_new("escalations", rows, ["escalation_id"])
-    state = ops.current_cases().filter(F.col("status") != "escalated").select("case_id")
-    ops.update_cases(rows.join(state, "case_id", "left_semi").select(
-        "case_id", F.lit(at).cast("timestamp_ntz").alias("at"), F.lit("escalated").alias("status"), F.lit(None).cast("string").alias("comment")))
+
+    def prepare(now: State) -> list[Change]:
+        open_cases = ops.current_cases(now).filter(F.col("status") != "escalated").select("case_id")
+        updates = rows.join(open_cases, "case_id", "left_semi").select(
+            "case_id", F.lit(at).cast("timestamp_ntz").alias("at"), F.lit("escalated").alias("status"), F.lit(None).cast("string").alias("comment"))
+        return ops.new_rows("escalations", rows, ["escalation_id"], now) + ops.new_rows(
+            "case_updates", updates, ["case_id", "at", "status", "comment"], now)
+
+    ops.store.commit(prepare)
     return rows
 
 

@@ -1,24 +1,22 @@
-"""Operational tables as Parquet folders that a run can be repeated on.
+"""Operational tables: every step publishes the rows of all its tables at once and can be repeated.
 
-There is no transaction over several folders, so every step can be repeated: tables of a run are
-replaced by run, queue rows are inserted once, and the run row is written last. A run without a run
-row did not finish and is simply repeated.
+Tables of a run are replaced by run and queue rows are inserted once. See `snapshots` for how a step is
+published; a step that breaks off before that has changed nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.cases import current_cases
+from riskloom.operators.cases import current_cases, deciding_updates
 from riskloom.operators.scoring import DEFAULT_MIN_SUSPICIOUS, flagged_customers
-from riskloom.session import materialize
+from riskloom.session import materialize, materialize_counted
+from riskloom.snapshots import Change, Part, SnapshotStore, State
 
 RUN_KEYS = ["as_of", "model_version"]
 # Columns of the operational tables.
@@ -48,71 +46,98 @@ SCHEMAS = {
 RUN_TABLES = ("customer_cluster", "behavior_anomalies", "customer_anomaly")
 
 
-@dataclass(frozen=True)
-class Operations:
-    """The folder that holds the operational tables."""
+# Parts of updates that are read one by one before they are compacted.
+UPDATE_PARTS = 16
+
 
-    spark: SparkSession
-    root: str
+class Operations:
+    """The operational tables below one folder. A step that writes several of them publishes them together."""
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.store = spark, SnapshotStore(spark, root)
 
     def empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[table])
 
-    def read(self, table: str) -> DataFrame:
-        """The table with its fixed schema; columns added later are null in older files."""
-        try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return self.empty(table)
-            raise
+    def read(self, table: str, state: State | None = None) -> DataFrame:
+        """The table in the newest state, or in the given one."""
+        return self.store.read(table, SCHEMAS[table], state)
+
+    def read_run(self, table: str, as_of: dt.date, version: str, state: State | None = None) -> DataFrame:
+        """The rows of one run; the files of other runs are not opened."""
+        return self.store.read(table, SCHEMAS[table], state, _run_key(as_of, version))
 
     def setup(self) -> None:
-        """Create the missing tables."""
-        for table in SCHEMAS:
-            try:
-                self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                if table not in RUN_TABLES:
-                    self.empty(table).write.mode("append").parquet(self.path(table))
+        """Publish a first state with every table empty, where there is none."""
+        self.store.commit(lambda state: [] if state.number else [Change(t, self.part(t, self.empty(t))) for t in SCHEMAS])
+
+    def part(self, table: str, rows: DataFrame, key: str | None = None) -> Part:
+        """Write rows for a later commit."""
+        return self.store.write_part(table, rows.select(*self.empty(table).columns), key)
+
+    def run_part(self, table: str, rows: DataFrame, as_of: dt.date, version: str) -> Part:
+        named = rows.withColumns({"as_of": F.lit(as_of), "model_version": F.lit(version)})
+        return self.part(table, named, _run_key(as_of, version))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        names = self.empty(table).columns
-        rows.select(*names).write.mode("append").parquet(self.path(table))
+        part = self.part(table, rows)
+        self.store.commit(lambda state: [Change(table, part)])
+
+    def new_rows(self, table: str, rows: DataFrame, keys: list[str], state: State) -> list[Change]:
+        """The change that adds the rows whose key the state does not have."""
+        have = self.read(table, state).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        part = self.part(table, rows.join(have, same, "left_anti"))
+        return [] if self.store.read(table, SCHEMAS[table], State(0, {table: (part,)})).isEmpty() else [Change(table, part)]
 
     def append_new(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         """Append the rows whose key is not there yet, so that a broken-off step can be repeated."""
-        have = self.read(table).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        self.append(table, materialize(rows.join(have, same, "left_anti"), "new-rows"))
+        self.store.commit(lambda state: self.new_rows(table, rows, keys, state))
 
-    def current_cases(self) -> DataFrame:
+    def current_cases(self, state: State | None = None) -> DataFrame:
         """The cases with every update applied."""
-        return current_cases(self.read("fraud_cases"), self.read("case_updates"))
+        state = state or self.store.state()
+        return current_cases(self.read("fraud_cases", state), self.read("case_updates", state))
 
     def update_cases(self, updates: DataFrame) -> None:
         """Append updates (case_id, at, status, comment); a null status or comment leaves what was there."""
         self.append_new("case_updates", updates, ["case_id", "at", "status", "comment"])
+        self.compact_updates()
+
+    def compact_updates(self, parts: int = UPDATE_PARTS) -> None:
+        """Where the updates have more parts than that, rewrite them as one with the rows that still decide something."""
+        def prepare(state: State) -> list[Change]:
+            held = state.parts("case_updates")
+            if len(held) <= parts:
+                return []
+            merged = self.part("case_updates", deciding_updates(self.read("case_updates", state)))
+            return [Change("case_updates", merged, tuple(p.folder for p in held))]
+        self.store.commit(prepare)
 
     def replace_run(self, table: str, rows: DataFrame, as_of: dt.date, version: str) -> None:
-        """Replace the rows of one run, also by none: the partition folder itself is overwritten."""
-        names = [c for c in self.empty(table).columns if c not in RUN_KEYS]
-        folder = f"{self.path(table)}/as_of={as_of.isoformat()}/model_version={version}"
-        rows.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+        """Replace the rows of one run, also by none."""
+        part = self.run_part(table, rows, as_of, version)
+        self.store.commit(lambda state: [Change(table, part)])
 
     def enqueue_once(self, rows: DataFrame) -> int:
         """Append the customers that were never queued for this model and day; returns how many."""
-        keys = ["customer_id", "model_name", "detected_at"]
-        new = materialize(not_yet_queued(rows, self.read("anomaly_queue"), keys), "queue")
-        count = new.count()
-        if count:
-            self.append("anomaly_queue", new)
-        return count
+        counted: list[int] = []
+
+        def prepare(state: State) -> list[Change]:
+            changes, count = self.queue_changes(rows, state)
+            counted.append(count)
+            return changes
+        self.store.commit(prepare)
+        return counted[-1]
+
+    def queue_changes(self, rows: DataFrame, state: State) -> tuple[list[Change], int]:
+        """What the queue of a state still lacks, and how many rows that is."""
+        new, count = materialize_counted(not_yet_queued(rows, self.read("anomaly_queue", state)), "queue")
+        return ([Change("anomaly_queue", self.part("anomaly_queue", new))] if count else []), count
+
+
+def _run_key(as_of: dt.date, version: str) -> str:
+    return f"{as_of.isoformat()}/{version}"
 
 
 def not_yet_queued(rows: DataFrame, queue: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -131,22 +156,30 @@ def now() -> dt.datetime:
 
 
 def write_results(ops: Operations, result, min_suspicious: int = DEFAULT_MIN_SUSPICIOUS) -> dict:
-    """Write a scoring result and queue its flagged customers. Repeating a run never queues twice."""
+    """Write a scoring result and queue its flagged customers, published together.
+
+    Repeating a run never queues twice, also when two writers repeat it at once: the later one decides on the
+    queue again from what the earlier one published.
+    """
     as_of, version = result.as_of, result.model_version
     joined = result.summary.withColumn("suspicious_features", F.array_join("suspicious_features", ","))
-    ops.replace_run("customer_cluster", result.clusters, as_of, version)
-    ops.replace_run("behavior_anomalies", result.detail, as_of, version)
-    ops.replace_run("customer_anomaly", joined, as_of, version)
-    queue = materialize(queue_rows(result.summary, as_of, version, min_suspicious), "flagged")
+    parts = {table: ops.run_part(table, rows, as_of, version) for table, rows in
+             (("customer_cluster", result.clusters), ("behavior_anomalies", result.detail), ("customer_anomaly", joined))}
+    queue, flagged = materialize_counted(queue_rows(result.summary, as_of, version, min_suspicious), "flagged")
     run = {
         "run_id": uuid.uuid4().hex[:12], "as_of": as_of, "model_version": version, "started_at": result.started_at,
-        "n_customers": result.clusters.count(), "n_scored": result.summary.count(), "n_flagged": queue.count(),
-        "n_enqueued": ops.enqueue_once(queue), "min_suspicious": min_suspicious, "features": ",".join(result.metrics),
-        "status": "ok", "finished_at": now(),
+        "n_customers": result.clusters.count(), "n_scored": result.summary.count(), "n_flagged": flagged,
+        "min_suspicious": min_suspicious, "features": ",".join(result.metrics), "status": "ok",
     }
     names = ops.empty("scoring_runs").columns
-    row = ops.spark.createDataFrame([tuple(run[n] for n in names)], SCHEMAS["scoring_runs"])
-    ops.append("scoring_runs", row)
+
+    def prepare(state: State) -> list[Change]:
+        queued, run["n_enqueued"] = ops.queue_changes(queue, state)
+        run["finished_at"] = now()
+        row = ops.spark.createDataFrame([tuple(run[n] for n in names)], SCHEMAS["scoring_runs"])
+        return [*[Change(t, p) for t, p in parts.items()], *queued, Change("scoring_runs", ops.part("scoring_runs", row))]
+
+    ops.store.commit(prepare)
     return run
 
 
