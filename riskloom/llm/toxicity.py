@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,14 @@ from riskloom.session import materialize
 
 MIN_WORD, MIN_FUZZY = 3, 5
 STEMS = range(4, 9)             # lengths of beginnings that may become terms
-MAX_TERMS = 2000                # terms of the lexicon, the most significant first
 SKETCH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)      # odd numbers
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 16_000      # labelled transcripts learned from, at most
 WINDOW = 6                      # words on either side that can mark a quotation
 THRESHOLD = 0.3
+KNOWN = 500_000                 # words whose match a worker keeps
 
 LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"([^\W\d_]+)")
 # Fixed value: signs that stand for a letter at the start or end of a word.
 LIKE_LETTERS = frozenset("0123456789$@€")
 # Quotation marks, and words that report what somebody else said.
@@ -137,6 +139,22 @@ class Lexicon:
         self.around = {v for t in self.terms for v in shortened(t)}
         self.stems_around = {v for t in self.beginnings for v in shortened(t)}
         self.known: dict[str, tuple[str, float] | None] = {}
+        self.matching: set[str] = set()
+        # One error leaves one half of a term as it is: the first at its place, the second at the end of the
+        # word, or, of a beginning, at most one letter from its place.
+        self.heads = {n: {t[:n] for t in (*self.terms, *self.beginnings) if len(t) // 2 == n} for n in {len(t) // 2 for t in (*self.terms, *self.beginnings)}}
+        self.tails = {n: {t[-n:] for t in self.terms if len(t) - len(t) // 2 == n} for n in {len(t) - len(t) // 2 for t in self.terms}}
+        self.inner: dict[tuple[int, int], set[str]] = {}
+        for t in self.beginnings:
+            for at in range(len(t) // 2 - 1, len(t) // 2 + 2):
+                self.inner.setdefault((at, at + len(t) - len(t) // 2), set()).add(t[len(t) // 2:])
+        self.halves = [*self.heads.items()], [*self.tails.items()], [*self.inner.items()]
+
+    def may_be_misspelt(self, word: str) -> bool:
+        """False where no half of a term is in its place."""
+        heads, tails, inner = self.halves
+        return any([word[:n] in known for n, known in heads]) or any([word[-n:] in known for n, known in tails]) or any(
+            [word[a:b] in known for (a, b), known in inner])
 
     def starts(self, word: str) -> list[str]:
         """The beginnings that the word has, exactly."""
@@ -145,7 +163,7 @@ class Lexicon:
     def misspelt(self, word: str) -> str | None:
         """The term that the word, or else the beginning that its own beginning, misspells by one error.
         Two words within one error share a form with at most one letter less, which is looked up first."""
-        if word in self.words or self.starts(word):
+        if word in self.words or self.starts(word) or not self.may_be_misspelt(word):
             return None
         found = []
         if len(word) <= self.longest + 1 and not self.around.isdisjoint(shortened(word)):
@@ -163,12 +181,21 @@ class Lexicon:
         found += [(start + "*", self.stems[start]) for start in self.starts(word)]
         if not found and (term := self.misspelt(word)) is not None:
             found.append((term + "~", self.near.get(term, 0.5 * (self.stems[term[:-1]] if term[-1] == "*" else self.words[term]))))
-        if len(self.known) > 500_000:
-            self.known.clear()
         best = max(found, key=lambda x: (x[1], x[0]), default=None)
         self.known[word] = best = best if best and best[1] > 0 else None
+        if best:
+            self.matching.add(word)
         return best
 
+    def look_up(self, words: set[str]) -> bool:
+        """Match all words that were not met before; whether any of the words matches."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+            self.matching.clear()
+        for word in words.difference(self.known):
+            self.match(word)
+        return not self.matching.isdisjoint(words)
+
 
 @lru_cache(maxsize=4)
 def _lexicon(items: tuple[tuple[str, float], ...]) -> Lexicon:
@@ -196,29 +223,59 @@ def hits(low: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
 
     A run of letters is looked up alone; where neither it nor its neighbour across a single digit or
     sign is a term, it is looked up with that sign, so that the sign can be the error. An error in a
-    term of less than MIN_FUZZY letters counts only within WINDOW words of another match.
+    term of less than MIN_FUZZY letters counts only within WINDOW words of another match. A long text is
+    read in pieces, which are cut at blanks; runs are counted on, so a border makes no difference.
     """
-    runs = list(LETTERS.finditer(low))
-    alone = {w: lexicon.match(w) for w in {r.group() for r in runs} if len(w) >= MIN_WORD - 1}
     found: list[tuple[int, int, int, str, float]] = []
-    exact = {w for w, m in alone.items() if m is not None and m[0][-1] != "~"}
+    base = before = 0
+    for piece in pieces(low):
+        parts = RUNS.split(piece)
+        found += [(before + i, base + a, base + b, entry, weight) for i, a, b, entry, weight in _piece_hits(parts, lexicon)]
+        before += len(parts) // 2
+        base += len(piece)
+    firm = [i for i, _, _, entry, _ in found if not _weak(entry)]
+    return [hit[1:] for hit in found if not _weak(hit[3]) or any(abs(i - hit[0]) <= WINDOW for i in firm[max(0, bisect_left(firm, hit[0]) - 1):][:2])]
+
+
+def _may_err(gap: str) -> bool:
+    """Whether what stands between two runs may be an error of a word: a sign alone, or one that stands for a letter."""
+    return len(gap) == 1 and not gap.isspace() or gap[:1] in LIKE_LETTERS or gap[-1:] in LIKE_LETTERS
+
+
+def _piece_hits(parts: list[str], lexicon: Lexicon) -> list[tuple[int, int, int, str, float]]:
+    """(number of the run, start, end, entry, weight) of the matches in one piece, given as gaps and runs in turn.
+    Only runs that match alone or stand beside a sign are looked at."""
+    runs, gaps = parts[1::2], parts[::2]
+    met = lexicon.look_up({w for w in set(runs) if len(w) >= MIN_WORD - 1})
+    signs = {g for g in set(gaps) if g and _may_err(g)}
+    if not met and not signs:
+        return []
+    matching, known = lexicon.matching, lexicon.known
+    wanted = {i for i, w in enumerate(runs) if w in matching} if met else set()
+    if signs:
+        wanted.update(j for i, g in enumerate(gaps) if g in signs for j in (i - 1, i) if 0 <= j < len(runs))
+    ends = list(accumulate(map(len, parts)))
+    exact = {w for w in map(runs.__getitem__, wanted) if w in matching and known[w][0][-1] != "~"}
+    found: list[tuple[int, int, int, str, float]] = []
     used = -1
-    for i, run in enumerate(runs):
-        word, (start, end) = run.group(), run.span()
+    for i in sorted(wanted):
+        word, start, end = runs[i], ends[2 * i], ends[2 * i + 1]
         if word not in exact:
-            joined = i + 1 < len(runs) and runs[i + 1].start() == end + 1 and not low[end].isspace() and runs[i + 1].group() not in exact
-            ways = [(start, runs[i + 1].end(), i + 1)] if joined else []
-            left, right = start - (low[start - 1:start] in LIKE_LETTERS), end + (low[end:end + 1] in LIKE_LETTERS)
-            ways += [way for way in ((left, end, i), (start, right, i)) if way[1] - way[0] > end - start]
-            signed = [(a, b, last, m) for a, b, last in ways if (m := lexicon.match(low[a:b])) is not None]
+            before, after = gaps[i], gaps[i + 1]
+            joined = i + 1 < len(runs) and len(after) == 1 and not after.isspace() and runs[i + 1] not in exact
+            ways = [(word + after + runs[i + 1], start, ends[2 * i + 3], i + 1)] if joined else []
+            if before[-1:] in LIKE_LETTERS:
+                ways.append((before[-1] + word, start - 1, end, i))
+            if after[:1] in LIKE_LETTERS:
+                ways.append((word + after[0], start, end + 1, i))
+            signed = [(a, b, last, m) for text, a, b, last in ways if (m := lexicon.match(text)) is not None]
             if signed and i > used:
                 a, b, used, m = max(signed, key=lambda x: x[3][1])
                 found.append((i, a, b, *m))
                 continue
-        if i > used and (m := alone.get(word)) is not None:
-            found.append((i, start, end, *m))
-    firm = [i for i, _, _, entry, _ in found if not _weak(entry)]
-    return [hit[1:] for hit in found if not _weak(hit[3]) or any(abs(i - hit[0]) <= WINDOW for i in firm[max(0, bisect_left(firm, hit[0]) - 1):][:2])]
+        if i > used and word in matching:
+            found.append((i, start, end, *known[word]))
+    return found
 
 
 def _weak(entry: str) -> bool:
@@ -227,13 +284,11 @@ def _weak(entry: str) -> bool:
 
 def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
     """Largest and summed weight of the matches that are abuse, then of those that are quotation."""
-    best, total = [0.0, 0.0], [0.0, 0.0]
-    for piece in pieces(text or ""):
-        low = piece.lower()
-        for start, end, _, weight in hits(low, lexicon):
-            quoted = is_quoted(low, start, end)
-            best[quoted] = max(best[quoted], weight)
-            total[quoted] += weight
+    best, total, low = [0.0, 0.0], [0.0, 0.0], (text or "").lower()
+    for start, end, _, weight in hits(low, lexicon):
+        quoted = is_quoted(low, start, end)
+        best[quoted] = max(best[quoted], weight)
+        total[quoted] += weight
     return best[0], math.log1p(total[0]), best[1], math.log1p(total[1])
 
 
@@ -300,8 +355,8 @@ def learn_lexicon(sample: DataFrame, weights: dict[int, float]) -> dict[str, flo
     base = F.regexp_replace("term", r"\*$", "")
     kept = strong.withColumn("head", F.substring(base, 1, STEMS[0])).groupBy("head").applyInPandas(
         _without_covered, "term string, t bigint, gain double, weight double")
-    rows = kept.orderBy(F.col("gain").desc(), F.length(base).desc(), "term").limit(MAX_TERMS).collect()
-    return {r["term"]: r["weight"] for r in rows}
+    # As many terms as the bounded sample shows to be significant.
+    return {r["term"]: r["weight"] for r in kept.select("term", "weight").orderBy("term").collect()}
 
 
 def _without_covered(terms: pd.DataFrame) -> pd.DataFrame:
@@ -364,7 +419,7 @@ def learn_misspellings(sample: DataFrame, lexicon: dict[str, float]) -> dict[str
         for b in batches:
             own = _lexicon(fixed)
             for text, label in arrow_rows(b, "full_text", "toxic"):
-                near = {entry[:-1] for piece in pieces(text or "") for _, _, entry, _ in hits(piece.lower(), own) if entry[-1] == "~"}
+                near = {entry[:-1] for _, _, entry, _ in hits((text or "").lower(), own) if entry[-1] == "~"}
                 found.update((t, bool(label)) for t in near)
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),

@@ -43,12 +43,36 @@ def test_beginnings_equal_brute_force():
         assert lexicon.misspelt(word) == wanted, word
 
 
-def test_pruning_comes_before_the_bound(spark, monkeypatch):
-    """Every toxic word has five tied beginnings; a bound of the number of words leaves all words."""
+def test_every_significant_word_is_learned_once(spark):
+    """Every toxic word has five tied beginnings, of which pruning leaves one; no bound takes any word away."""
     rng = random.Random(2)
-    words = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(5)) for _ in range(8)]
+    words = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(5)) for _ in range(300)]
     clean = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
     rows = [(" ".join([*rng.sample(clean, 5), *(words if i % 2 else [])]), i % 2) for i in range(200)]
-    monkeypatch.setattr(toxicity, "MAX_TERMS", len(words))
     found = toxicity.learn_lexicon(spark.createDataFrame(rows, "full_text string, toxic int"), {0: 1.0, 1: 1.0})
     assert all(any(w == t or (t[-1] == "*" and w.startswith(t[:-1])) for t in found) for w in words)
+    assert len(found) == len(words)
+
+
+def test_borders_of_pieces_make_no_difference(monkeypatch):
+    """Quotations, joined runs and weak matches that reach over a border are judged as in one piece."""
+    from riskloom.llm import texts
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"payaso": 3.0, "scum": 2.0, "misera*": 2.5, "scum~": 1.5, "payaso~": 1.0})
+    words = ["payaso", "payazo", "scun", "scum", "miserable", "miz3rable", "idi-ota", "pa-yaso", "dijo", "\"hola", "fin\"", *[f"w{i}" for i in range(12)], "uno", "dos"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 120)))
+        whole = toxicity.hits(text, lexicon), toxicity.evidence(text, lexicon)
+        with monkeypatch.context() as m:
+            m.setattr(texts.pieces, "__defaults__", (rng.choice([5, 17, 60]),))
+            assert (toxicity.hits(text, lexicon), toxicity.evidence(text, lexicon)) == whole
+
+
+def test_halves_never_hide_a_misspelling():
+    rng = random.Random(4)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) + rng.choice(["", "*"]): 1.0 for _ in range(25)}
+    lexicon = toxicity.Lexicon(terms)
+    for _ in range(4000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 11)))
+        near = bool(toxicity.intersect(lexicon.trie, word, 1)) or bool(toxicity.intersect(lexicon.stem_trie, word, 1, beginning=True))
+        assert lexicon.may_be_misspelt(word) or not near
