@@ -155,13 +155,15 @@ def near_copies(transcripts: DataFrame, transcript_id: str = "transcript_id", fu
         (F.max, "size", "size"))]), "shingle-owners")
     texts = rows.select("text_key", "full_text").join(owners.select("key", "text_key"), "text_key").groupBy("key").agg(F.first("full_text").alias("words"))
 
-    close = components(simhash.links(owners.select("fingerprint")))
-    grouped = owners.join(close, F.col("fingerprint") == F.col("node"), "left")
-    first = _compared(grouped.select(F.lit(-1).alias("t"), F.coalesce("root", "fingerprint").alias("k"), "key", F.col("key").alias("root"), "size"), texts, False)
+    # A bucket for every fingerprint: the keys that have it and those it is linked to.
+    own = owners.select(F.col("fingerprint").alias("k"), "key", "size")
+    linked = simhash.links(owners.select("fingerprint")).join(owners, F.col("b") == F.col("fingerprint")).select(F.col("a").alias("k"), "key", "size")
+    first = _compared(own.unionByName(linked).select(F.lit(-1).alias("t"), "k", "key", F.col("key").alias("root"), "size"), texts, False)
     joined = components(first)
     keyed = owners.join(joined, F.col("key") == F.col("node"), "left").select("key", "size", F.coalesce("root", "key").alias("root"), "bands")
     keyed = materialize(keyed.select("key", "size", "root", F.posexplode("bands").alias("t", "k")), "shingle-buckets")
-    roots = components(first.unionByName(_compared(keyed, texts, True)))
+    stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.unionByName(_compared(keyed, texts, True)))
 
     rooted = owners.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
