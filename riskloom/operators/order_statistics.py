@@ -38,9 +38,9 @@ def _answers(cells: DataFrame, probes: DataFrame, group: str, running: Running)
         "probe", "value")
     both = held.unionByName(asked, allowMissingColumns=True)
     keys = [group, "level", "block"]
-    # A probe comes before the cells of its own rank, which hold no smaller value.
-    up = running(both, keys, [F.col("v"), F.col("kind")], {"below": F.col("n")}, {"high": F.col("high")})
-    down = running(up.withColumnsRenamed({"before_below": "below", "before_high": "lower"}), keys, [-F.col("v"), 1 - F.col("kind")],
+    # A probe comes before the cells of its own rank, which hold no smaller value; cells of one rank go by value.
+    up = running(both, keys, [F.col("v"), F.col("kind"), F.col("high")], {"below": F.col("n")}, {"high": F.col("high")})
+    down = running(up.withColumnsRenamed({"before_below": "below", "before_high": "lower"}), keys, [-F.col("v"), 1 - F.col("kind"), -F.col("low")],
                    {"rest": F.col("n")}, {"low": F.col("low")})
     found = down.filter("kind = 0").groupBy(group, "probe").agg(
         F.first("value").alias("value"), F.sum("below").alias("below"), F.sum("before_rest").alias("rest"), F.max("lower").alias("lower"),

@@ -1,4 +1,4 @@
-"""Ranking of human agents for cases."""
+"""Ranking of human agents for cases, by a threshold over classes of agents."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import normalize_or_empty
-from riskloom.operators.scaling import MAX_BROADCAST_ROWS, small_side, top_rows
+from riskloom.operators.scaling import small_side, top_rows
+from riskloom.session import materialize_counted
 
 # Weights of the soft criteria, agent types, shifts and languages.
 WEIGHT_SPECIALTY, WEIGHT_ACCENT, WEIGHT_COUNTRY, WEIGHT_SHIFT, WEIGHT_CHAT = 40, 20, 15, 15, 10
@@ -19,7 +20,11 @@ LANGUAGE_KEYWORDS = {"es": "espanol", "pt": "portugues", "en": "ingles"}
 LANGUAGE_NAMES = {"es": "español", "pt": "portugués", "en": "inglés"}
 DEFAULT_CSAT = 3.5
 
-SITUATION = ["lang", "accent", "country", "hour"]
+# Cases differ in these for the ranking: the hour counts by the shift it falls into.
+SITUATION = ["lang", "accent", "country", "period"]
+# Agents of one class get the same points for a situation.
+CLASS = ["lang", "own_accent", "own_country", "own_shift"]
+BONUSES = sorted({a + c + s for a in (0, WEIGHT_ACCENT) for c in (0, WEIGHT_COUNTRY) for s in (0, WEIGHT_SHIFT)})
 
 
 def language_code(language: Column) -> Column:
@@ -31,13 +36,12 @@ def language_code(language: Column) -> Column:
     return code
 
 
-def on_shift(shift: Column, hour: Column) -> Column:
-    """Rotating agents always are; the night shift goes over midnight."""
-    name = normalize_or_empty(shift)
-    result = name == "rotating"
+def period_of(hour: Column) -> Column:
+    """The shift that an hour falls into; the night goes over midnight. Null without an hour."""
+    result = F.lit(None).cast("string")
     for label, (start, end) in SHIFT_HOURS.items():
         inside = ((hour >= start) & (hour < end)) if start < end else ((hour >= start) | (hour < end))
-        result = result | ((name == label) & inside)
+        result = F.when(inside, label).otherwise(result)
     return result
 
 
@@ -57,53 +61,76 @@ def speakers(agents: DataFrame) -> DataFrame:
         "lang", F.explode(codes))
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """routing_score and routing_reasons of (situation, agent) pairs."""
-    agent_accent, agent_country = normalize_or_empty(F.col("native_accent")), normalize_or_empty(F.col("country_of_origin"))
+def _matches() -> tuple[Column, Column, Column]:
+    """Whether accent, country and shift of a class suit a situation. Rotating agents suit every shift."""
+    accent = (F.col("accent") != "") & (F.col("accent") != "neutral") & (F.col("own_accent") == F.col("accent"))
+    country = (F.col("country") != "") & (F.col("own_country") == F.col("country"))
+    shift = (F.col("own_shift") == "rotating") | F.coalesce(F.col("own_shift") == F.col("period"), F.lit(False))
+    return accent, country, shift
+
+
+def _points(condition: Column, weight: int) -> Column:
+    return F.when(condition, weight).otherwise(0)
+
+
+def class_lists(agents: DataFrame, top: int) -> DataFrame:
+    """The first `top` agents of every class for every sum of points that a situation can add, ranked by `place`.
+
+    The points of a situation are the same for a whole class, so nobody behind these can be among the first
+    `top` of any situation.
+    """
     specialist = normalize_or_empty(F.col("specialty")).contains("fraude")
-    accent = (F.col("accent") != "") & (F.col("accent") != "neutral") & (agent_accent == F.col("accent"))
-    country = (F.col("country") != "") & (agent_country == F.col("country"))
-    shift = on_shift(F.col("work_shift"), F.col("hour"))
     chat = normalize_or_empty(F.col("agent_type")).isin(*CHAT_TYPES)
+    described = speakers(agents).withColumns({
+        "own_accent": normalize_or_empty(F.col("native_accent")), "own_country": normalize_or_empty(F.col("country_of_origin")),
+        "own_shift": normalize_or_empty(F.col("work_shift")), "specialist": specialist, "chat": chat,
+        "bonus": F.explode(F.array(*[F.lit(b) for b in BONUSES]))})
+    whole = F.col("bonus") + _points(specialist, WEIGHT_SPECIALTY) + _points(chat, WEIGHT_CHAT) + _mapped(
+        normalize_or_empty(F.col("experience_level")), WEIGHT_EXPERIENCE, 0)
+    score = whole + F.coalesce("avg_csat", F.lit(DEFAULT_CSAT)) * 3 - F.coalesce("total_monthly_interactions", F.lit(0.0)) / 100
+    scored = described.withColumn("routing_score", F.bround(score, 1))
+    return top_rows(scored, [*CLASS, "bonus"], [F.col("routing_score").desc(), F.col("agent_id")], top, rank="place")
+
+
+def _reasons() -> Column:
+    accent, country, shift = _matches()
 
     def reason(condition: Column, text: str, detail: str | None = None) -> Column:
         words = F.lit(text) if detail is None else F.concat(F.lit(f"{text} ("), F.col(detail), F.lit(")"))
         return F.when(condition, words)
 
-    def points(condition: Column, weight: int) -> Column:
-        return F.when(condition, float(weight)).otherwise(0.0)
-
-    score = (points(specialist, WEIGHT_SPECIALTY) + points(accent, WEIGHT_ACCENT) + points(country, WEIGHT_COUNTRY)
-             + points(shift, WEIGHT_SHIFT) + points(chat, WEIGHT_CHAT)
-             + _mapped(normalize_or_empty(F.col("experience_level")), WEIGHT_EXPERIENCE, 0)
-             + F.coalesce("avg_csat", F.lit(DEFAULT_CSAT)) * 3
-             - F.coalesce("total_monthly_interactions", F.lit(0.0)) / 100)
     why = F.array(F.concat(F.lit("habla "), _mapped(F.col("lang"), LANGUAGE_NAMES, "")),
-                  reason(specialist, "especialista en fraudes"), reason(accent, "mismo acento", "native_accent"),
+                  reason(F.col("specialist"), "especialista en fraudes"), reason(accent, "mismo acento", "native_accent"),
                   reason(country, "mismo país", "country_of_origin"), reason(shift, "en turno", "work_shift"),
-                  reason(chat, "atiende chat", "agent_type"))
-    return pairs.withColumns({"routing_score": F.bround(score, 1),
-                              "routing_reasons": F.array_join(F.filter(why, lambda w: w.isNotNull()), "; ")})
+                  reason(F.col("chat"), "atiende chat", "agent_type"))
+    return F.array_join(F.filter(why, lambda w: w.isNotNull()), "; ")
 
 
 def rank_agents(cases: DataFrame, agents: DataFrame, top: int = 3) -> DataFrame:
     """The best agents of every case (case_id, language, accent, country, hour), ranked from 1.
 
-    Language is a hard condition and the join key. Cases only differ in language, accent, country
-    and hour, so agents are ranked once per distinct situation and the few winners joined to the
-    cases; cases and agents are never paired directly. Equal scores go by agent id.
+    Language is a hard condition. A score is the agent's own points plus those for accent, country and shift, so
+    agents are ranked once within their class, and a situation looks at the head of each class first: the best
+    `top` agents belong to the `top` classes with the best heads, as every other class is below all of these. It
+    then reads `top` agents of these classes. Equal scores go by agent id. Cases join the winners of their situation.
     """
     described = cases.select("case_id", language_code(F.col("language")).alias("lang"),
                              normalize_or_empty(F.col("accent")).alias("accent"),
-                             normalize_or_empty(F.col("country")).alias("country"), F.col("hour").cast("int").alias("hour"))
+                             normalize_or_empty(F.col("country")).alias("country"),
+                             F.coalesce(period_of(F.col("hour").cast("int")), F.lit("")).alias("period"))
     described = described.filter(F.col("lang").isNotNull())
     situations = described.select(*SITUATION).distinct()
-    candidates = speakers(agents)
-    listed = agents.limit(MAX_BROADCAST_ROWS + 1).count()        # three languages at most per agent
-    pairs = situations.join(small_side(candidates, listed * 3), "lang")
-    winners = top_rows(_scored(pairs), SITUATION, [F.col("routing_score").desc(), F.col("agent_id")], top, rank="rank")
-    chosen = winners.select(*SITUATION, "rank", "agent_id", "first_name", "last_name", "email", "languages", "specialty",
-                            "agent_type", "work_shift", "routing_score", "routing_reasons")
+    lists, n = materialize_counted(class_lists(agents, top), "agent-classes")
+    order = [F.col("routing_score").desc(), F.col("agent_id")]
+    points = sum((_points(match, weight) for match, weight in zip(_matches(), (WEIGHT_ACCENT, WEIGHT_COUNTRY, WEIGHT_SHIFT))), F.lit(0))
+    classes = lists.filter("place = 1").select(*CLASS).distinct()
+    heads = lists.filter("place = 1").select(*CLASS, "bonus", "routing_score", "agent_id")
+    offered = situations.join(small_side(classes, n), "lang").withColumn("bonus", points)
+    best = top_rows(offered.join(small_side(heads, n), [*CLASS, "bonus"]), SITUATION, order, top).drop("routing_score", "agent_id")
+    winners = top_rows(best.join(small_side(lists, n), [*CLASS, "bonus"]), SITUATION, order, top, rank="rank")
+    chosen = winners.withColumn("routing_reasons", _reasons()).select(
+        *SITUATION, "rank", "agent_id", "first_name", "last_name", "email", "languages", "specialty", "agent_type", "work_shift",
+        "routing_score", "routing_reasons")
     return described.join(chosen, SITUATION)
 
 

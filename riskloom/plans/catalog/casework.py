@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from riskloom.operators import analysis as A
 from riskloom.operators import cases as K
 from riskloom.operators import routing as G
+from riskloom.operators import rules as R
 from riskloom.operators.scaling import top_rows
+from riskloom.plans import lifecycle
 from riskloom.plans.bridge import BankTables
 from riskloom.plans.catalog.common import ANALYSIS_DAYS, normalized
 from riskloom.plans.catalog.registry import query, rounded, view
-from riskloom.plans.catalog.rules import SETTINGS, scored
+from riskloom.plans.catalog.rules import SETTINGS
+from riskloom.plans.catalog.sources import scratch
+from riskloom.sinks import Operations
 from riskloom.sources.logical import latest_profiles, product_labels
 from riskloom.sources.tables import active_agents
 from riskloom.session import materialize
@@ -70,11 +74,10 @@ def existing_cases(t: BankTables):
 
 
 view("requested", """
-SELECT customer_id, max(anomaly_score) AS anomaly_score FROM case_queue WHERE processed_at IS NULL GROUP BY customer_id
-ORDER BY customer_id LIMIT 100""")
+SELECT customer_id, max(anomaly_score) AS anomaly_score FROM case_queue WHERE processed_at IS NULL GROUP BY customer_id""")
 
 
-@query("pending_queue", "SELECT * FROM requested", rounds=["anomaly_score"])
+@query("pending_queue", "SELECT * FROM requested ORDER BY customer_id LIMIT 100", rounds=["anomaly_score"])
 def pending_queue(t: BankTables):
     return rounded(K.pending_queue(case_queue(t), 100))
 
@@ -108,11 +111,10 @@ PICK_SCORE = 60       # a stricter limit than the default, so that some customer
 PICK_SETTINGS = replace(SETTINGS, suspicious=PICK_SCORE)
 
 
-def requests(t: BankTables, rows):
+def requests(wanted, rows):
     named = rows.filter((F.substring("customer", 9, 1) == "3") & F.col("id").endswith("5")).select("customer", "id")
     listed = top_rows(named, ["customer"], ["id"], 5).groupBy("customer").agg(
         F.array_join(F.array_sort(F.collect_list("id")), ",").alias("transaction_ids"))
-    wanted = K.pending_queue(case_queue(t), 100)
     source = F.when(F.substring("customer_id", 9, 1).isin("1", "4", "7"), "risk_engine").otherwise("anomaly_model")
     return wanted.join(listed.withColumnRenamed("customer", "customer_id"), "customer_id", "left").select(
         "customer_id", source.alias("source"), "anomaly_score", "transaction_ids")
@@ -134,8 +136,10 @@ SELECT customer_id, source, id, score, reasons, nth FROM (
 
 
 def case_inputs(t: BankTables):
-    rows = materialize(scored(t), "scored")
-    return requests(t, rows), rows, A.analyze_window(rows, ANALYSIS_DAYS)
+    """All pending customers with the scores of their transactions; nobody else is scored."""
+    wanted = materialize(K.pending_queue(case_queue(t), None), "pending")
+    rows = materialize(R.score_transactions(t.transactions, SETTINGS, wanted.select(F.col("customer_id").alias("customer"))), "scored")
+    return requests(wanted, rows), rows, A.analyze_window(rows, ANALYSIS_DAYS)
 
 
 @query("case_transactions_pick", "SELECT customer_id, source, id, score, cast(position AS BIGINT) AS position FROM picked")
@@ -176,16 +180,28 @@ def open_cases(t: BankTables):
     return rounded(cases.drop("created_at", "updated_at", "demo_mode", "customer_comment"))
 
 
+# The life cycle asks for all of them as flagged by the model, so any transaction in the window makes a case.
+view("queue_cases", f"""
+SELECT {CASE_ID} AS case_id, customer_id FROM requested JOIN contacts_of_customers USING (customer_id)
+WHERE customer_id NOT IN (SELECT customer_id FROM open_now) AND customer_id IN (SELECT customer FROM analysis_tx)""")
+
+
 @query("process_queue", """
 SELECT q.customer_id, q.model_name, coalesce(o.case_id, n.case_id) AS case_id,
        CASE WHEN o.case_id IS NOT NULL THEN 'duplicate' WHEN n.case_id IS NOT NULL THEN 'case_opened' ELSE 'not_found' END AS result
-FROM case_queue q JOIN requested USING (customer_id) LEFT JOIN open_now o USING (customer_id) LEFT JOIN new_cases n USING (customer_id)
+FROM case_queue q JOIN requested USING (customer_id) LEFT JOIN open_now o USING (customer_id) LEFT JOIN queue_cases n USING (customer_id)
 WHERE q.processed_at IS NULL""")
 def process_queue(t: BankTables):
-    wanted, _, cases, _ = opened(t)
-    queue = case_queue(t)
-    now = F.lit(OPENED).cast("timestamp_ntz")
-    return K.queue_outcomes(queue, wanted, cases, existing_cases(t), now).select("customer_id", "model_name", "case_id", "result")
+    """The whole queue worked off on operational tables; the outcomes are read back from them."""
+    ops, queue = Operations(t.spark, scratch(t, "casework")), materialize(case_queue(t), "queue")
+    empty = ops.empty("fraud_cases")
+    held = existing_cases(t)
+    ops.append("anomaly_queue", queue)
+    ops.append("fraud_cases", held.select(*[F.col(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema]))
+    ops.append("queue_outcomes", queue.filter("processed_at IS NOT NULL").select(
+        "customer_id", "detected_at", "model_name", "processed_at", F.lit("earlier").alias("case_id"), F.lit("case_opened").alias("result")))
+    lifecycle.process_queue(ops, t.transactions, t.customers, OPENED, ANALYSIS_DAYS, None, settings=SETTINGS)
+    return ops.read("queue_outcomes").filter("case_id IS NULL OR case_id <> 'earlier'").select("customer_id", "model_name", "case_id", "result")
 
 
 @query("case_details", f"""

@@ -37,7 +37,7 @@ def by_sorting(rows):
     return found
 
 
-@pytest.mark.parametrize("sizes", [[(1, 1), (2, 2), (7, 3), (64, 64), (300, 9), (257, 256)], [(500, 500), (3, 1)]])
+@pytest.mark.parametrize("sizes", [[(1, 1), (2, 2), (7, 3), (64, 64), (300, 9), (257, 256)], [(500, 500), (3, 1)], [(14 + n % 5, 6) for n in range(150)]])
 @pytest.mark.parametrize("choices", ["few", None])
 def test_both_forms_equal_sorting(spark, sizes, choices):
     rows = [r for n, (size, kinds) in enumerate(sizes) for r in history(f"C{n}", size, kinds, n + 1, choices)]
