@@ -217,18 +217,25 @@ class ChunkTokenizer:
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        known, older, fresh = self.known, self.older, []
+        known, older, listed, ended = self.known, self.older, [], []
         for chunk in missing:
-            if chunk in older:
-                known[chunk] = older[chunk]
+            ids = older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+            elif (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+                known[chunk] = self._encode_word(chunk)
+            elif chunk[-1] in ",." and chunk[:-1].strip(" ").isalpha():
+                ended.append(chunk)
             else:
-                fresh.append(chunk)
-        ended = {c for c in fresh if c[-1] in ",." and c[:-1].strip(" ").isalpha()}
-        plain = {c for c in fresh if c not in ended}
-        plain.update(p for c in ended for p in (c[:-1], c[-1]) if p not in known)
-        words = {c for c in plain if c.removeprefix(" ").isalpha()}
-        known.update((c, self._encode_word(c)) for c in words)
-        listed = [c for c in plain if c not in words]
+                listed.append(chunk)
+        for chunk in ended:
+            word = chunk[:-1]
+            ids = known.get(word)
+            if ids is None and (word[1:] if word[0] == " " else word).isalpha():
+                ids = known[word] = self._encode_word(word)
+            if ids is None or chunk[-1] not in known:
+                listed += [p for p in (word, chunk[-1]) if p not in known]
+        listed = list(dict.fromkeys(listed))
         known.update(zip(listed, self._encode(listed)))
         for chunk in ended:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
@@ -237,7 +244,7 @@ class ChunkTokenizer:
         if len(self.known) > self.KEPT:
             self.known, self.older = {}, self.known
         self.known.setdefault("", b"")
-        get, cut, missing = self.known.get, [], set()
+        get, cut, missing, gaps = self.known.get, [], set(), []
         for text in texts:
             if ADJACENT.search(text) or any(s in text for s in self.special):
                 cut.append(None)
@@ -245,13 +252,22 @@ class ChunkTokenizer:
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             found = list(map(get, chunks))
             if None in found:
-                missing.update([c for c, ids in zip(chunks, found) if ids is None])
-                found = None
-            cut.append((chunks, found))
+                new = [(i, c) for i, (c, ids) in enumerate(zip(chunks, found)) if ids is None]
+                missing.update([c for _, c in new])
+                gaps.append((found, new))
+            cut.append(found)
         if missing:
             self._learn(missing)
-        whole, item = iter(self._encode([t for t, c in zip(texts, cut) if c is None])), self.known.__getitem__
-        return [next(whole) if c is None else b"".join(map(item, c[0]) if c[1] is None else c[1]) for c in cut]
+            known = self.known
+            for found, new in gaps:
+                for i, chunk in new:
+                    found[i] = known[chunk]
+        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
+        return [next(whole) if found is None else b"".join(found) for found in cut]
+
+    def rest(self) -> None:
+        """Give back what the next task can do without."""
+        self.older = {}
 
 
 @lru_cache(maxsize=2)
@@ -298,6 +314,7 @@ def write_token_files(transcripts: DataFrame, path: str, tokenizer: str, transcr
                             yield flush()
         if held:
             yield flush()
+        coder.rest()
 
     write_frames(rows.mapInArrow(run, "piece binary"), "piece", path, "\n")
 
