@@ -34,7 +34,7 @@ SKETCH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)      # odd
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 16_000      # labelled transcripts learned from, at most
 WINDOW = 6                      # words on either side that can mark a quotation
 THRESHOLD = 0.3
-KNOWN = 500_000                 # words whose match a worker keeps
+KNOWN = 250_000                 # words whose match a worker keeps
 
 LETTERS = re.compile(r"[^\W\d_]+")
 RUNS = re.compile(r"([^\W\d_]+)")
