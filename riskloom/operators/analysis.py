@@ -43,17 +43,19 @@ def transaction_json(with_risk: bool = False, extra: tuple[str, ...] = ()) -> Co
 
 def recent_transactions(history_rows: DataFrame, days: int = DEFAULT_DAYS, limit: int = 20, ceiling: int = 50
                         ) -> DataFrame:
-    """Newest transactions of every customer within the last days, at most min(limit, ceiling).
+    """Newest transactions of every customer within the last days, at most min(limit, ceiling), with the number
+    of all transactions in these days (`total_in_window`) and the moment of the last one (`last_transaction`).
 
-    The rank is limited before the shuffle; the newest row of those kept gives the last moment.
+    The rank is limited before the shuffle. The totals are counts, combined in the map tasks.
     """
-    k = max(min(limit, ceiling), 1)
-    newest = top_rows(history_rows.filter(F.col("customer").isNotNull()), ["customer"],
-                      [F.col("timestamp").desc(), F.col("id").desc()], k, rank="rank")
-    last = newest.filter(F.col("rank") == 1).select("customer", F.col("timestamp").alias("_last"))
-    inside = newest.join(last, "customer").filter(
-        F.col("timestamp") >= F.col("_last") - F.expr(f"INTERVAL {max(days, 1)} DAY"))
-    return inside.select("customer", "rank", *SHOWN_FIELDS)
+    k, back = max(min(limit, ceiling), 1), F.expr(f"INTERVAL {max(days, 1)} DAY")
+    known = history_rows.filter(F.col("customer").isNotNull())
+    last = known.groupBy("customer").agg(F.max("timestamp").alias("last_transaction"))
+    totals = known.select("customer", "timestamp").join(last, "customer").filter(F.col("timestamp") >= F.col("last_transaction") - back).groupBy(
+        "customer", "last_transaction").agg(F.count(F.lit(1)).alias("total_in_window"))
+    newest = top_rows(known, ["customer"], [F.col("timestamp").desc(), F.col("id").desc()], k, rank="rank")
+    inside = newest.join(totals, "customer").filter(F.col("timestamp") >= F.col("last_transaction") - back)
+    return inside.select("customer", "rank", *SHOWN_FIELDS, "total_in_window", "last_transaction")
 
 
 def suspicious_rows(window: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
@@ -70,14 +72,22 @@ def top_suspicious(window: DataFrame, labels: DataFrame, threshold: float, k: in
     return best.join(labels.select(F.col("product_id").alias("product"), "card"), "product", "left")
 
 
-def risk_assessment(window: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
-    """Per customer: rows analysed, suspicious rows, highest level and last moment."""
+def risk_assessment(window: DataFrame, settings: RuleSettings = DEFAULTS, alerts: DataFrame | None = None) -> DataFrame:
+    """Per customer: rows analysed, suspicious rows, highest level and last moment.
+
+    With `alerts` (customer_id, reviewed_period_end of `customer_alerts`) also `behavior_alert_until`, the end of
+    the period that the behaviour alert is about; null without one.
+    """
     suspicious = F.col("score") >= settings.suspicious
     top = F.max(F.when(suspicious, F.col("score")))
-    return window.groupBy("customer").agg(
+    found = window.groupBy("customer").agg(
         F.count(F.lit(1)).alias("transactions_analyzed"), F.count_if(suspicious).alias("suspicious_count"),
         F.when(top >= settings.high_risk, "high").when(top.isNotNull(), "medium").otherwise("low").alias("max_level"),
         F.max("customer_last").alias("until"))
+    if alerts is None:
+        return found
+    until = alerts.select(F.col("customer_id").alias("customer"), F.col("reviewed_period_end").alias("behavior_alert_until"))
+    return found.join(until, "customer", "left")
 
 
 def monitor_high_risk(window: DataFrame, labels: DataFrame, settings: RuleSettings = DEFAULTS, k: int = 5) -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from multiprocessing.pool import ThreadPool
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (PCA, ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.contracts import CUSTOMER_FEATURES, validate
 from riskloom.operators.scaling import MAX_GROUP_ROWS, exact_quantiles
+from riskloom.session import materialize
 
 # Model inputs and sizes.
 LOG_COLUMNS = ["credit_score", "income_usd", "Deuda_usd", "Activos_financieros_usd"]
@@ -24,7 +27,8 @@ NUMERIC_COLUMNS = ["Edad"]
 CATEGORY_COLUMNS = ["country", "education_level"]
 INPUT_COLUMNS = ["customer_id", *NUMERIC_COLUMNS, *LOG_COLUMNS, *CATEGORY_COLUMNS]
 N_COMPONENTS, N_CLUSTERS, N_STARTS, SEED = 6, 3, 10, 42
-STARTS_AT_ONCE = 4
+START_SAMPLE = 10_000           # points that first centres are drawn from
+ROWS_AT_ONCE = 4096
 # A missing category seen in training is a category of its own.
 MISSING = "(missing)"
 
@@ -82,19 +86,143 @@ def fit_pca(preprocessed: DataFrame, components: int, width: int):
     return PCA(k=min(components, width), inputCol="features", outputCol="components").fit(preprocessed)
 
 
-def fit_kmeans(points: DataFrame, k: int = N_CLUSTERS, starts: int = N_STARTS, seed: int = SEED) -> KMeansModel:
-    """Best of several starts by the sum of squared distances. `points` should be persisted.
+@dataclass
+class Candidate:
+    """One K-means model while it is fitted: number of clusters, number of the start, centres and sum of squared distances."""
+
+    k: int
+    start: int
+    centres: np.ndarray
+    cost: float = math.inf
+    done: bool = False
+
+
+def as_arrays(points: DataFrame) -> DataFrame:
+    """The components as (x array<double>), written once for all scans."""
+    return materialize(points.select(vector_to_array("components").alias("x")), "points")
+
+
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each further centre is drawn with a chance that grows with the squared distance to those chosen."""
+    draw = np.random.default_rng(seed)
+    centres = [sample[draw.integers(len(sample))]]
+    near = ((sample - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        if near.sum() <= 0:
+            centres.append(centres[0])                          # fewer different points than centres
+            continue
+        centres.append(sample[draw.choice(len(sample), p=near / near.sum())])
+        near = np.minimum(near, ((sample - centres[-1]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def _points_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    column = batch.column(0)
+    whole = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    for at in range(0, len(whole), ROWS_AT_ONCE):
+        yield whole[at:at + ROWS_AT_ONCE]
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+
+def _one_scan(points: DataFrame, candidates: list[Candidate]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every centre of all candidates: points, sum of the points, of their squares and of their squared distances.
 
-    Each start is a row of short jobs, so a few of them run side by side.
+    One job: each task sums over its rows for all candidates and sends one row per centre.
     """
-    def fit(start: int) -> tuple[float, int, KMeansModel]:
-        model = KMeans(k=k, seed=seed + start, maxIter=300, featuresCol="components", predictionCol="raw_cluster").fit(points)
-        return model.summary.trainingCost, start, model
+    centres = np.concatenate([c.centres for c in candidates])
+    first = np.cumsum([0] + [c.k for c in candidates])
+    width = centres.shape[1]
+    names = ["n", "squares", "cost", *[f"s{i}" for i in range(width)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(centres), 3 + width))
+        for batch in batches:
+            for x in _points_of(batch):
+                far = _distances(x, centres)
+                squares = (x * x).sum(axis=1)
+                for a, b in zip(first[:-1], first[1:]):
+                    near = far[:, a:b].argmin(axis=1)
+                    values = [np.ones(len(x)), squares, far[np.arange(len(x)), a + near], *x.T]
+                    for column, value in enumerate(values):
+                        sums[a:b, column] += np.bincount(near, value, b - a)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), *[pa.array(np.ascontiguousarray(c)) for c in sums.T]], ["centre", *names])
+
+    partial = points.mapInArrow(run, "centre bigint, " + ", ".join(f"{n} double" for n in names))
+    rows = partial.groupBy("centre").agg(*[F.sum(n).alias(n) for n in names]).orderBy("centre").collect()     # one row per centre
+    found = np.array([[r[n] for n in names] for r in rows])
+    return found[:, 0], found[:, 3:], found[:, 1], found[:, 2]
+
+
+def fit_many(points: DataFrame, ks: Iterable[int], starts: int = N_STARTS, seed: int = SEED, tolerance: float = 1e-6,
+             iterations: int = 300) -> list[Candidate]:
+    """All starts of all numbers of clusters together: one scan of the points per iteration, whatever their number.
+
+    `points` is a written table (x array<double>). First centres come from the START_SAMPLE points with the smallest
+    hashes. A candidate whose centres do not move any more leaves the scans.
+    """
+    sample = np.array([r["x"] for r in points.orderBy(F.xxhash64("x"), "x").limit(START_SAMPLE).collect()])
+    candidates = [Candidate(k, start, _first_centres(sample, k, seed + start)) for k in ks for start in range(starts)]
+    for _ in range(iterations):
+        active = [c for c in candidates if not c.done]
+        if not active:
+            break
+        n, sums, _, costs = _one_scan(points, active)
+        at = 0
+        for c in active:
+            part, at = slice(at, at + c.k), at + c.k
+            held = n[part] > 0
+            moved = np.where(held[:, None], sums[part] / np.maximum(n[part], 1)[:, None], c.centres)       # an empty one stays
+            c.done = bool((((moved - c.centres) ** 2).sum(axis=1) <= tolerance ** 2).all())
+            c.centres, c.cost = moved, float(costs[part].sum())
+    return candidates
+
+
+def best_of(candidates: list[Candidate], k: int) -> Candidate:
+    return min((c for c in candidates if c.k == k), key=lambda c: (c.cost, c.start))
+
+
+def as_model(candidate: Candidate, spark) -> KMeansModel:
+    """The MLlib model with these centres: fitted to the centres themselves, each of which is a cluster of its own."""
+    centres = spark.createDataFrame([(Vectors.dense(c),) for c in np.unique(candidate.centres, axis=0)], ["components"])
+    return KMeans(k=candidate.k, initMode="random", maxIter=1, seed=SEED, featuresCol="components", predictionCol="raw_cluster").fit(centres)
+
 
-    points.count()                                   # filled once, before several starts ask for it
-    with ThreadPool(min(starts, STARTS_AT_ONCE)) as pool:
-        found = pool.map(inheritable_thread_target(fit), range(starts))
-    return min(found, key=lambda f: f[:2])[2]
+def fit_kmeans(points: DataFrame, k: int = N_CLUSTERS, starts: int = N_STARTS, seed: int = SEED) -> KMeansModel:
+    """Best of several starts by the sum of squared distances."""
+    return as_model(best_of(fit_many(as_arrays(points), [k], starts, seed), k), points.sparkSession)
+
+
+def silhouettes(points: DataFrame, models: list[Candidate]) -> list[float]:
+    """Mean silhouette of squared distances of each model, all in two scans.
+
+    The mean squared distance of a point to a cluster follows from the cluster's count, sum and sum of squares. A
+    point alone in its cluster counts as 0, as does everything with a single cluster.
+    """
+    n, sums, squares, _ = _one_scan(points, models)
+    centres = np.concatenate([m.centres for m in models])
+    first = np.cumsum([0] + [m.k for m in models])
+    total = n[:first[1]].sum()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(models))
+        for batch in batches:
+            for x in _points_of(batch):
+                far = _distances(x, centres)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mean = (x * x).sum(axis=1)[:, None] + (squares - 2 * x @ sums.T) / n
+                    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                        rows, own = np.arange(len(x)), far[:, a:b].argmin(axis=1)
+                        inside = mean[rows, a + own] * n[a + own] / (n[a + own] - 1)
+                        others = np.where((np.arange(a, b) == (a + own)[:, None]) | (n[a:b] == 0), np.inf, mean[:, a:b]).min(axis=1)
+                        value = (others - inside) / np.maximum(others, inside)
+                        found[i] += np.where((n[a + own] > 1) & np.isfinite(others), value, 0.0).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), pa.array(found)], ["model", "total"])
+
+    rows = points.mapInArrow(run, "model bigint, total double").groupBy("model").agg(F.sum("total").alias("total")).orderBy("model").collect()
+    return [r["total"] / total for r in rows]
 
 
 def _relabel(model: KMeansModel) -> SQLTransformer:
@@ -124,11 +252,7 @@ def fit_customer_clusters(features: DataFrame, components: int = N_COMPONENTS, c
     preprocessor = fit_components(features, components)
     *stages, pca = preprocessor.stages
     prepared = PipelineModel(stages=stages).transform(features).select("features")
-    points = pca.transform(prepared).select("components").persist()
-    try:
-        kmeans = fit_kmeans(points, clusters, starts, seed)
-    finally:
-        points.unpersist()
+    kmeans = fit_kmeans(pca.transform(prepared).select("components"), clusters, starts, seed)
     return PipelineModel(stages=[*stages, pca, kmeans, _relabel(kmeans)])
 
 
@@ -150,14 +274,11 @@ def assign_clusters(model: PipelineModel, features: DataFrame, checked: bool = F
 
 def k_sweep(points: DataFrame, ks: Iterable[int] = range(2, 11), starts: int = N_STARTS, seed: int = SEED) -> DataFrame:
     """(k, inertia, silhouette) for several numbers of clusters; one small row per k."""
-    points = points.select("components").persist()
-    evaluator = ClusteringEvaluator(featuresCol="components", predictionCol="raw_cluster")
-    rows = []
-    for k in ks:
-        model = fit_kmeans(points, k, starts, seed)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(points)))))
-    points.unpersist()
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    ks, rows = list(ks), as_arrays(points)
+    candidates = fit_many(rows, ks, starts, seed)
+    best = [best_of(candidates, k) for k in ks]
+    found = [(m.k, m.cost, float(s)) for m, s in zip(best, silhouettes(rows, best))]
+    return points.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")
 
 
 def variance_table(model: PipelineModel, spark) -> DataFrame:

@@ -71,14 +71,15 @@ def require_usd_rates(rates: DataFrame, as_of: dt.date | str | None = None) -> N
 def add_usd_amounts(users: DataFrame, countries: DataFrame, rates: DataFrame) -> DataFrame:
     """Income in USD by the currency of the country, balance in USD by the currency of the product.
 
-    `countries` and `rates` have one row per country and per currency.
+    `countries` and `rates` have one row per country and per currency; Spark broadcasts them where it knows that they
+    are small.
     """
     rates = rates.select("currency", "usd_rate")
     income_rates = countries.join(rates.withColumnRenamed("currency", "income_currency"), "income_currency").select(
         "country_key", F.col("usd_rate").alias("_income_rate"))
     return (users.withColumn("country_key", normalize_key(F.col("country")))
-                 .join(F.broadcast(income_rates), "country_key", "left")
-                 .join(F.broadcast(rates.withColumnRenamed("usd_rate", "_balance_rate")), "currency", "left")
+                 .join(income_rates, "country_key", "left")
+                 .join(rates.withColumnRenamed("usd_rate", "_balance_rate"), "currency", "left")
                  .withColumn("income_usd", F.col("income") * F.col("_income_rate"))
                  .withColumn("current_balance_usd", F.col("current_balance") * F.col("_balance_rate"))
                  .drop("country_key", "_income_rate", "_balance_rate"))

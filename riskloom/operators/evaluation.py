@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import DayWindow
-from riskloom.operators.scaling import MAX_GROUP_ROWS, latest_rows, running_before, union_all
+from riskloom.operators.scaling import MAX_GROUP_ROWS, latest_rows, running_before, small_side, union_all
 from riskloom.session import materialize, materialize_counted
 
 # Rule scores that raise an alert.
@@ -35,33 +35,58 @@ def pseudo_random(identifier: Column, seed: int) -> Column:
     return F.conv(digest, 16, 10).cast("double") / float(2**52)
 
 
-def ranking_metrics(data: DataFrame, score: str, weight: str | None = None, max_group_rows: int = MAX_GROUP_ROWS
-                    ) -> DataFrame:
-    """Average precision and ROC-AUC per window; null when a window has a single class.
+def ranked(data: DataFrame, scores: dict[str, str], weight: str | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Every row of every window under every score (method -> column), with what ranks before it.
 
-    Equal scores form one step, and a missing score ranks below all others. Rows are first summed
-    per score; the sums run along the scores in chunks when there are very many of them.
+    One table and one sort for all windows and methods, of which every ranking metric is an aggregate. A missing
+    score ranks below all others, equal scores go by customer id. Long rankings are scanned in chunks.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).cast("double").alias("score")) for m, c in scores.items()])
+    long = data.select("window", "customer_id", "has_fraud", w.alias("w"), F.inline(methods))
     hit = F.col("has_fraud")
-    steps = data.groupBy("window", F.col(score).alias("score")).agg(
-        F.sum(F.when(hit, w).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("neg"))
-    steps, rows = materialize_counted(
-        steps.select("window", F.col("score").isNull().cast("int").alias("missing"),
-                     (-F.col("score").cast("double")).alias("down"), "pos", "neg"), "ranking")
-    running = running_before(steps, ["window"], [F.col("missing"), F.coalesce("down", F.lit(0.0))],
-                             {"pos": F.col("pos"), "neg": F.col("neg")}, max_group_rows=max_group_rows, rows=rows)
+    ordered, rows = materialize_counted(long.select(
+        "window", "method", "customer_id", "has_fraud", F.col("score").isNull().cast("int").alias("missing"),
+        F.coalesce(-F.col("score"), F.lit(0.0)).alias("down"), F.when(hit, F.col("w")).otherwise(0.0).alias("pos"),
+        F.when(hit, 0.0).otherwise(F.col("w")).alias("neg")), "ranking")
+    placed = running_before(ordered, ["window", "method"], [F.col("missing"), F.col("down"), F.col("customer_id")],
+                            {"pos": F.col("pos"), "neg": F.col("neg"), "rows": F.lit(1)}, max_group_rows=max_group_rows, rows=rows)
+    return materialize(placed, "ranked")
+
+
+def ranking_of(placed: DataFrame) -> DataFrame:
+    """Average precision and ROC-AUC per window and method of a `ranked` table; null when a window has a single
+    class. Equal scores form one step."""
+    steps = placed.groupBy("window", "method", "missing", "down").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("before_pos").alias("before_pos"), F.min("before_neg").alias("before_neg"))
     reached_pos, reached_neg = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
-    totals = running.groupBy("window").agg(
+    totals = steps.groupBy("window", "method").agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
         F.sum(F.col("pos") * F.try_divide(reached_pos, reached_pos + reached_neg)).alias("_ap"),
         F.sum(F.col("neg") * (F.col("before_pos") + F.col("pos") / 2)).alias("_auc"))
     both = (F.col("p") > 0) & (F.col("n") > 0)
-    return totals.select("window",
+    return totals.select("window", "method",
                          F.when(both, F.bround(F.col("_ap") / F.col("p"), 4)).alias("average_precision"),
                          F.when(both, F.bround(F.col("_auc") / (F.col("p") * F.col("n")), 4)).alias("roc_auc"))
 
 
+def precision_of(placed: DataFrame, ks: DataFrame) -> DataFrame:
+    """Share of fraud among the k highest scores per window and method of a `ranked` table, for rows (window, threshold, k).
+    k = 0 gives null."""
+    ks, n = materialize_counted(ks, "ranking-sizes")
+    methods = placed.select("window", "method").distinct()
+    inside = placed.join(small_side(ks, n), "window").filter(F.col("before_rows") < F.col("k"))
+    found = inside.groupBy("window", "method", "threshold").agg(
+        F.bround(F.avg(F.col("has_fraud").cast("double")), 4).alias("precision_at_k"))
+    return ks.join(methods, "window").join(found, ["window", "method", "threshold"], "left").select(
+        "window", "method", "threshold", "k", "precision_at_k")
+
+
+def ranking_metrics(data: DataFrame, score: str, weight: str | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """`ranking_of` a single score."""
+    return ranking_of(ranked(data, {"score": score}, weight, max_group_rows)).drop("method")
+
+
 def flag_metrics(data: DataFrame, flagged: Column, keys: list[str], weight: str | None = None) -> DataFrame:
     """Flagged, true positives, precision, recall, F1 and lift, optionally weighted."""
     w = F.lit(1.0) if weight is None else F.col(weight)
@@ -90,20 +115,8 @@ def at_thresholds(data: DataFrame, score: str, thresholds=THRESHOLDS, weight: st
 
 
 def precision_at_k(data: DataFrame, score: str, ks: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Share of fraud among the k highest scores, for (window, threshold, k) rows.
-
-    Missing scores rank last and ties go by customer id. The position of a row is a running count,
-    so k may be large. k = 0 gives null. `ks` has a few rows per window.
-    """
-    ordered, rows = materialize_counted(
-        data.select("window", "customer_id", "has_fraud", F.col(score).isNull().cast("int").alias("missing"),
-                    F.coalesce(-F.col(score).cast("double"), F.lit(0.0)).alias("down")), "positions")
-    placed = running_before(ordered, ["window"], [F.col("missing"), F.col("down"), F.col("customer_id")],
-                            {"rows": F.lit(1)}, max_group_rows=max_group_rows, rows=rows)
-    inside = placed.join(F.broadcast(ks), "window").filter(F.col("before_rows") < F.col("k"))
-    found = inside.groupBy("window", "threshold").agg(
-        F.bround(F.avg(F.col("has_fraud").cast("double")), 4).alias("precision_at_k"))
-    return ks.join(found, ["window", "threshold"], "left").select("window", "threshold", "k", "precision_at_k")
+    """`precision_of` a single score."""
+    return precision_of(ranked(data, {"score": score}, None, max_group_rows), ks).drop("method")
 
 
 def cluster_rank_score() -> Column:
@@ -148,9 +161,10 @@ def rules_baseline(sample: DataFrame, scores: DataFrame) -> tuple[DataFrame, Dat
     return ranking_metrics(data, "rule_score", "weight"), at_thresholds(data, "rule_score", RULE_THRESHOLDS, "weight")
 
 
-def long_rows(frame: DataFrame, method: str, metrics: list[str], threshold: str | None = None) -> DataFrame:
+def long_rows(frame: DataFrame, method: str | Column, metrics: list[str], threshold: str | None = None) -> DataFrame:
+    name = method if isinstance(method, Column) else F.lit(method)
     level = F.lit(None).cast("int") if threshold is None else F.col(threshold).cast("int")
-    wide = frame.select("window", F.lit(method).alias("method"), level.alias("threshold"),
+    wide = frame.select("window", name.alias("method"), level.alias("threshold"),
                         *[F.col(m).cast("double").alias(m) for m in metrics])
     return wide.unpivot(["window", "method", "threshold"], metrics, "metric", "value")
 
@@ -167,17 +181,23 @@ def report_rows(data: DataFrame, with_random: bool = True) -> DataFrame:
     methods = {"cluster_model": "cluster_score", "fraud_score": "bank_score"}
     if with_random:
         methods["random"] = "random_score"
+    placed = ranked(data, methods)
     parts = [long_rows(counts, "data", ["customers", "positives", "base_rate"]),
-             long_rows(flags, "cluster_model", FLAG_METRICS, "threshold")]
-    parts += [long_rows(ranking_metrics(data, column), method, ["average_precision", "roc_auc"])
-              for method, column in methods.items()]
+             long_rows(flags, "cluster_model", FLAG_METRICS, "threshold"),
+             long_rows(ranking_of(placed), F.col("method"), ["average_precision", "roc_auc"])]
     if with_random:
         ks = flags.select("window", "threshold", F.col("flagged").alias("k"))
-        parts += [long_rows(precision_at_k(data, methods[m], ks), m, ["precision_at_k"], "threshold")
-                  for m in ("fraud_score", "random")]
+        found = precision_of(placed.filter("method <> 'cluster_model'"), ks)
+        parts.append(long_rows(found, F.col("method"), ["precision_at_k"], "threshold"))
     return union_all(parts).select(*REPORT_COLUMNS)
 
 
+def sample_rows(sample: DataFrame) -> DataFrame:
+    """Report rows with the sizes of the weighted sample that the rules were evaluated on."""
+    sizes = sample.groupBy("window").agg(F.count(F.lit(1)).alias("sample_customers"), F.count_if(~F.col("has_fraud")).alias("sampled_negatives"))
+    return long_rows(sizes, "rules", ["sample_customers", "sampled_negatives"])
+
+
 def pooled(data: DataFrame) -> DataFrame:
     """All windows as one."""
     return data.withColumn("window", F.lit("pooled"))

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import age_at
-from riskloom.operators.contracts import CUSTOMER_FEATURES, PRODUCT_TYPES, RAW_CUSTOMER_PRODUCTS, write_valid
+from riskloom.operators.contracts import CUSTOMER_FEATURES, PRODUCT_TYPES, RAW_CUSTOMER_PRODUCTS, watched, write_valid
 from riskloom.operators.currency import add_usd_amounts
-from riskloom.operators.scaling import top_rows
 
 # Product types that count as debt and as assets.
 DEBT_TYPES = ("Préstamo Hipotecario", "Préstamo Personal", "Tarjeta Crédito")
@@ -76,12 +75,16 @@ def derive_features(balances: DataFrame) -> DataFrame:
 def build_customer_features(users: DataFrame, as_of: dt.date | str, countries: DataFrame, rates: DataFrame) -> DataFrame:
     """The whole step, with its input contract (invalid rows leave) and its output contract.
 
-    Input and result are written once and checked while they are written.
+    One pass: input rows are checked on their way into the aggregate, which takes the information and all balances of
+    a customer together, and only the result is written.
     """
-    users, _ = write_valid(users, RAW_CUSTOMER_PRODUCTS, "customer-products", mode="drop")
-    active = with_known_income(add_usd_amounts(active_customers(users), countries, rates))
-    info = top_rows(active.select(*INFO_COLUMNS), ["customer_id"], [F.col(c) for c in INFO_COLUMNS[1:]])
-    features = (info.join(derive_features(pivot_balances(active)), "customer_id")
-                    .withColumn("Edad", age_at(F.col("date_of_birth").try_cast("date"), as_of))
-                    .select(*FEATURE_COLUMNS))
-    return write_valid(features, CUSTOMER_FEATURES, "customer-features")[0]
+    valid, outcome = watched(users, RAW_CUSTOMER_PRODUCTS)
+    active = with_known_income(add_usd_amounts(active_customers(valid), countries, rates))
+    balances = [F.coalesce(F.sum(F.when(F.col("product_type") == t, F.col("current_balance_usd"))), F.lit(0.0)).alias(t) for t in PRODUCT_TYPES]
+    grouped = active.groupBy("customer_id").agg(F.min(F.struct(*INFO_COLUMNS[1:])).alias("info"), *balances)
+    features = (derive_features(grouped.select("customer_id", "info.*", *[_quoted(t) for t in PRODUCT_TYPES]))
+                .withColumn("Edad", age_at(F.col("date_of_birth").try_cast("date"), as_of))
+                .select(*FEATURE_COLUMNS))
+    written = write_valid(features, CUSTOMER_FEATURES, "customer-features")[0]
+    outcome()
+    return written

@@ -11,6 +11,9 @@ from riskloom.sources.tables import CUSTOMER_COLUMNS, PRODUCT_COLUMNS, TRANSACTI
 AS_OF = "2024-01-30"
 BASELINE, RECENT = recent_and_baseline(AS_OF, recent_days=7)
 HISTORY = history_window(AS_OF)
+# Two held-out windows of ten days for the evaluation.
+HELD_OUT_DAYS = 10
+EARLIER, LATER = (recent_and_baseline(day, recent_days=HELD_OUT_DAYS)[1] for day in ("2024-01-20", "2024-01-30"))
 RATES_AS_OF = "2000-06-15"
 ANALYSIS_DAYS = 10
 BURST_MINUTES = 180
@@ -81,7 +84,7 @@ FROM (SELECT DISTINCT customer_id, date_of_birth, country, segment, credit_score
 JOIN derived_features d USING (customer_id)""")
 
 # --- transactions and behaviour ----------------------------------------------------------------
-for _name, _window in (("recent", RECENT), ("baseline", BASELINE), ("history", HISTORY)):
+for _name, _window in (("recent", RECENT), ("baseline", BASELINE), ("history", HISTORY), ("earlier", EARLIER), ("later", LATER)):
     view(f"{_name}_transactions", f"""
 SELECT {TRANSACTION_FIELDS} FROM transactions WHERE {inside(_window)}
 QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date DESC) = 1""")
@@ -158,23 +161,26 @@ DEVIATION = ("CASE WHEN value IS NULL THEN NULL WHEN mad > 0 THEN abs(value - me
              "WHEN value = median THEN 0.0 ELSE 'inf'::DOUBLE END")
 
 
-def detail_sql(metrics: list[str]) -> str:
+def detail_sql(metrics: list[str], behavior: str = "recent_behavior") -> str:
     return f"""
 SELECT customer_id, cluster, feature, value, median AS cluster_median, p25 AS cluster_p25, p75 AS cluster_p75,
        deviation_score, coalesce(deviation_score >= 3, false) AS is_suspicious, place
 FROM (SELECT v.*, p.median, p.p25, p.p75, {DEVIATION} AS deviation_score
-      FROM ({long_values('recent_behavior', metrics)}) v JOIN profiles p USING (cluster, feature)) d"""
+      FROM ({long_values(behavior, metrics)}) v JOIN profiles p USING (cluster, feature)) d"""
 
 
 SCORED = ["num_transacciones_monthly", "monto_total_usd_monthly", "monto_promedio_usd", "monto_mediano_usd",
           "monto_maximo_usd"]
 view("score_detail", detail_sql(SCORED))
 view("score_detail_all", detail_sql(ALL_METRICS))
-view("score_summary", """
+for _name, _detail in (("score_summary", "score_detail"), ("earlier_summary", "earlier_detail"), ("later_summary", "later_detail")):
+    if _name != "score_summary":
+        view(_detail, detail_sql(SCORED, _detail.replace("detail", "behavior")))
+    view(_name, f"""
 SELECT customer_id, cluster, avg(deviation_score) FILTER (WHERE deviation_score < 'inf'::DOUBLE) AS anomaly_score,
        cast(count(*) AS INT) AS n_features, cast(count(*) FILTER (WHERE is_suspicious) AS INT) AS n_suspicious,
        coalesce(string_agg(feature, ',' ORDER BY place) FILTER (WHERE is_suspicious), '') AS suspicious_features
-FROM score_detail GROUP BY customer_id, cluster""")
+FROM {_detail} GROUP BY customer_id, cluster""")
 
 # --- rules -------------------------------------------------------------------------------------
 view("logical_tx", """

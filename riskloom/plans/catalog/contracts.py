@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import contracts as C
 from riskloom.operators.behavior import fill_usd_amount
 from riskloom.operators.currency import invalid_rates
+from riskloom.operators.scaling import union_all
 from riskloom.plans.bridge import BankTables
 from riskloom.plans.catalog.common import RECENT, inside, normalized
 from riskloom.plans.catalog.registry import query, view
@@ -71,21 +72,18 @@ def checked_customers(t: BankTables):
 
 
 @query("contract_schema", """
-SELECT * FROM (VALUES ('faltan columnas', true), ('tipos incorrectos', true), ('columna vacía', false)) s(problem, refused)""")
+SELECT 'sin columna' AS variant, 'credit_score' AS "column", 'faltan columnas' AS problem, 0 AS filled
+UNION ALL SELECT 'otro tipo', 'credit_score', 'tipos incorrectos', count(credit_score) FROM customers
+UNION ALL SELECT 'otro tipo', 'income', 'tipos incorrectos', count(estimated_monthly_income) FROM customers WHERE estimated_monthly_income > 0""")
 def contract_schema(t: BankTables):
-    """Schema errors of three variants of the same table; the last column of nulls has no kind."""
-    spec = C.Contract("prueba", C.Expect.text("customer_id"), C.Expect.number("credit_score"))
-    variants = {"faltan columnas": t.customers.drop("credit_score"),
-                "tipos incorrectos": t.customers.withColumn("credit_score", F.col("credit_score").cast("string")),
-                "columna vacía": t.customers.withColumn("credit_score", F.lit(None).cast("string"))}
-    rows = []
-    for problem, df in variants.items():
-        try:
-            C.check_schema(df, spec)
-            rows.append((problem, False))
-        except C.ContractError as error:
-            rows.append((problem, problem in str(error)))
-    return t.spark.createDataFrame(rows, "problem string, refused boolean")
+    """Schema problems of three variants of the customers; the last one's column of nulls has no kind."""
+    spec = C.Contract("prueba", C.Expect.text("customer_id"), C.Expect.number("credit_score"), C.Expect.truth("income"))
+    income = F.when(F.col("estimated_monthly_income") > 0, F.col("estimated_monthly_income"))
+    nothing = F.lit(None).cast("string")
+    variants = {"sin columna": t.customers.drop("credit_score").withColumn("income", nothing.cast("double")),
+                "otro tipo": t.customers.withColumns({"credit_score": F.col("credit_score").cast("string"), "income": income}),
+                "columna vacía": t.customers.withColumns({"credit_score": nothing, "income": nothing.cast("double")})}
+    return union_all([C.schema_problems(df, spec).select(F.lit(name).alias("variant"), "column", "problem", "filled") for name, df in variants.items()])
 
 
 @query("contract_column_rules", _counts("checked_customers", FIELD_RULES))

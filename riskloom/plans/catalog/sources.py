@@ -167,7 +167,7 @@ def src_customer_list_file(t: BankTables):
     rows = tables.customers_latest(t.customers).filter("customer_status = 'Closed'").select(
         F.col("customer_id").alias("Customer_ID"), (F.col("credit_score") / 1000).alias("anomaly_score"))
     path = scratch(t, "customer-list")
-    rows.coalesce(1).write.csv(path, header=True)
+    rows.write.csv(path, header=True)
     return rounded(files.read_customer_list(t.spark, path))
 
 
@@ -194,8 +194,8 @@ def src_currency_config(t: BankTables):
     t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     countries, rates = files.read_currency_config(t.spark, path)
     people = tables.customers_latest(t.customers).select("customer_id", normalize_key(F.col("country")).alias("country_key"))
-    return (people.join(F.broadcast(countries), "country_key")
-                  .join(F.broadcast(rates.withColumnRenamed("currency", "income_currency")), "income_currency")
+    return (people.join(countries, "country_key")
+                  .join(rates.withColumnRenamed("currency", "income_currency"), "income_currency")
                   .select("customer_id", "income_currency", "usd_rate"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import platform
+import uuid
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -23,14 +24,16 @@ from riskloom.operators.behavior import profile_metrics, window_behavior
 from riskloom.operators.contracts import CLUSTER_PROFILES, validate
 from riskloom.operators.currency import require_usd_rates
 from riskloom.operators.features import build_customer_features
+from riskloom.operators.fingerprints import fingerprint
 from riskloom.operators.scaling import union_all
 from riskloom.session import materialize
-from riskloom.snapshots import Change, State
+from riskloom.snapshots import Change, Part, SnapshotStore, State
 from riskloom.sources.files import currency_frames
 from riskloom.sources.logical import latest_profiles
 from riskloom.sources.tables import customers_with_products, transactions_in_window
 
 RECENT_DAYS = 30
+MODEL_PARTS = ("pipeline", "profiles", "activity", "metadata")
 
 
 class VersionError(RuntimeError):
@@ -80,14 +83,6 @@ def model_version(as_of: dt.date | str) -> str:
     return f"clusters_{as_date(as_of):%Y%m%d}"
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row `fingerprint`: a content hash that does not depend on the order of rows or partitions."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(20,0)")
-    total = F.coalesce(F.sum(row), F.lit(0)).cast("string")
-    return df.agg(F.left(F.sha2(F.concat_ws("#", total, F.count(F.lit(1)).cast("string")), 256), F.lit(16))
-                  .alias("fingerprint"))
-
-
 def train(inputs: BankInputs, as_of: dt.date | str, components: int = clustering.N_COMPONENTS,
           clusters: int = clustering.N_CLUSTERS, seed: int = clustering.SEED, months: int = 12,
           starts: int = clustering.N_STARTS) -> TrainedModel:
@@ -122,36 +117,42 @@ def train(inputs: BankInputs, as_of: dt.date | str, components: int = clustering
 
 
 def save_model(model: TrainedModel, models_dir: str) -> str:
-    """Write pipeline, profiles, activity and metadata into a folder named after the version."""
+    """Write pipeline, profiles, activity and metadata below a folder named after the version, published together.
+
+    Training a version again writes fresh folders, so a reader never mixes the parts of two trainings.
+    """
     folder = f"{models_dir}/{model.metadata['model_version']}"
-    model.pipeline.write().overwrite().save(f"{folder}/pipeline")
-    model.profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
-    model.activity.write.mode("overwrite").parquet(f"{folder}/activity")
     spark = model.profiles.sparkSession
+    store = SnapshotStore(spark, folder)
     text = spark.createDataFrame([(json.dumps(model.metadata, ensure_ascii=False),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+    parts = {"profiles": store.write_part("profiles", model.profiles, "model"), "activity": store.write_part("activity", model.activity, "model"),
+             "metadata": store.write_part("metadata", text, "model"), "pipeline": Part(f"pipeline/{uuid.uuid4().hex}", "model")}
+    model.pipeline.save(f"{folder}/{parts['pipeline'].folder}")
+    store.commit(lambda state: [Change(name, part) for name, part in parts.items()])
     return folder
 
 
-def _metadata(spark: SparkSession, folder: str) -> dict:
-    return json.loads(spark.read.text(f"{folder}/metadata").first()["value"])
-
-
 def load_model(spark: SparkSession, folder: str) -> TrainedModel:
     """Read a saved model; one from another minor version of the library is refused."""
-    metadata = _metadata(spark, folder)
+    state = SnapshotStore(spark, folder).state()
+    paths = {name: f"{folder}/{p.folder}" for name in MODEL_PARTS for p in state.parts(name)}
+    missing = sorted(set(MODEL_PARTS) - set(paths))
+    if missing:
+        raise FileNotFoundError(f"{folder} has no {', '.join(missing)}")
+    metadata = json.loads(spark.read.parquet(paths["metadata"]).first()["value"])
     saved = metadata["versions"]["pyspark"]
     if saved.split(".")[:2] != pyspark.__version__.split(".")[:2]:
         raise VersionError(f"{folder} was saved with pyspark {saved}, this is {pyspark.__version__}: train again")
-    profiles, _ = validate(spark.read.parquet(f"{folder}/profiles"), CLUSTER_PROFILES)
-    return TrainedModel(PipelineModel.load(f"{folder}/pipeline"), profiles, spark.read.parquet(f"{folder}/activity"), metadata)
+    profiles, _ = validate(spark.read.parquet(paths["profiles"]), CLUSTER_PROFILES)
+    return TrainedModel(PipelineModel.load(paths["pipeline"]), profiles, spark.read.parquet(paths["activity"]), metadata)
 
 
 def latest_model_folder(spark: SparkSession, models_dir: str) -> str:
-    """The saved model with the highest version name."""
-    rows = spark.read.text(f"{models_dir}/clusters_*/metadata")
-    newest = rows.agg(F.max(F.get_json_object("value", "$.model_version"))).first()[0]
-    return f"{models_dir}/{newest}"
+    """The saved model with the highest version name; folders without a published model do not count."""
+    found = [n for n in SnapshotStore(spark, models_dir).folders() if n.startswith("clusters_") and SnapshotStore(spark, f"{models_dir}/{n}").numbers()]
+    if not found:
+        raise FileNotFoundError(f"no model in {models_dir}")
+    return f"{models_dir}/{max(found)}"
 
 
 def score_as_of(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str,
@@ -248,33 +249,47 @@ def escalate_cases(ops: sinks.Operations, cases: DataFrame, agents: DataFrame, a
     return rows
 
 
-def evaluate_window(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str, seed: int = 42) -> DataFrame:
+def evaluate_window(inputs: BankInputs, model: TrainedModel, as_of: dt.date | str, seed: int = 42, recent_days: int = RECENT_DAYS) -> DataFrame:
     """One row per customer of a held-out window. A window inside the training data is refused."""
     as_of = as_date(as_of)
     if inside_training(model, as_of):
         raise ValueError(f"the window ends on {as_of}, not after the training data ({model.metadata['as_of']})")
-    _, window = recent_and_baseline(as_of)
-    result = score_as_of(inputs, model, as_of)
+    _, window = recent_and_baseline(as_of, recent_days=recent_days)
+    result = score_as_of(inputs, model, as_of, recent_days=recent_days)
     labels = evaluation.window_labels(inputs.transactions, window)
     return materialize(evaluation.evaluation_data(result.summary, labels, as_of.isoformat(), seed), "evaluation")
 
 
-def evaluate(inputs: BankInputs, model: TrainedModel, eval_as_of: Sequence[dt.date | str],
-             rules_negatives: int | None = 0, seed: int = 42) -> DataFrame:
-    """Report rows of every window and of all windows together.
+def report_header(model: TrainedModel, eval_as_of: Sequence[dt.date | str], recent_days: int = RECENT_DAYS) -> DataFrame:
+    """(window, window_start, window_end_inclusive, model_version, train_as_of), one row per evaluated window."""
+    rows = []
+    for day in map(as_date, eval_as_of):
+        _, window = recent_and_baseline(day, recent_days=recent_days)
+        rows.append((day.isoformat(), window.start, window.last_day, model.metadata["model_version"], model.metadata["as_of"]))
+    return model.profiles.sparkSession.createDataFrame(
+        rows, "window string, window_start date, window_end_inclusive date, model_version string, train_as_of string")
+
+
+def evaluate(inputs: BankInputs, model: TrainedModel, eval_as_of: Sequence[dt.date | str], rules_negatives: int | None = 0, seed: int = 42,
+             recent_days: int = RECENT_DAYS, settings: rules.RuleSettings = rules.DEFAULTS) -> DataFrame:
+    """Report rows of every window and of all windows together; `report_header` has the bounds and the model.
 
-    `rules_negatives` = 0 leaves the rules out; None evaluates them on every customer.
+    `rules_negatives` = 0 leaves the rules out; None evaluates them on every customer. Their rows come with the sizes of
+    the sample, per window and pooled.
     """
-    windows = {as_date(d): evaluate_window(inputs, model, d, seed) for d in eval_as_of}
+    windows = {as_date(d): evaluate_window(inputs, model, d, seed, recent_days) for d in eval_as_of}
     data = union_all(list(windows.values()))
     parts = [evaluation.report_rows(data), evaluation.report_rows(evaluation.pooled(data), with_random=False)]
     if rules_negatives != 0:
+        samples = []
         for day, frame in windows.items():
-            _, window = recent_and_baseline(day)
+            _, window = recent_and_baseline(day, recent_days=recent_days)
             sample = materialize(evaluation.weighted_sample(frame, rules_negatives, seed), "rules-sample")
-            wanted = sample.select(F.col("customer_id").alias("customer"))
-            scored = rules.score_transactions(inputs.transactions, customers=wanted)
-            ranking, levels = evaluation.rules_baseline(sample, evaluation.rules_scores(sample, scored, window))
-            parts += [evaluation.long_rows(ranking, "rules", ["average_precision", "roc_auc"]),
-                      evaluation.long_rows(levels, "rules", evaluation.FLAG_METRICS, "threshold")]
+            scored = rules.score_transactions(inputs.transactions, settings, sample.select(F.col("customer_id").alias("customer")))
+            samples.append(materialize(sample.join(evaluation.rules_scores(sample, scored, window), "customer_id"), "rules-baseline"))
+        sampled = union_all(samples)
+        for rows in (sampled, evaluation.pooled(sampled)):
+            parts += [evaluation.long_rows(evaluation.ranking_metrics(rows, "rule_score", "weight"), "rules", ["average_precision", "roc_auc"]),
+                      evaluation.long_rows(evaluation.at_thresholds(rows, "rule_score", evaluation.RULE_THRESHOLDS, "weight"), "rules",
+                                           evaluation.FLAG_METRICS, "threshold"), evaluation.sample_rows(rows)]
     return union_all([p.select(*evaluation.REPORT_COLUMNS) for p in parts])
