@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_frames(pieces: DataFrame, column: str, path: str, separator: str) -> None:
-    """One file per partition of the table; the binary column is written as it is, row after row."""
-    pieces.select(F.col(column).cast("string").alias("value")).write.option("lineSep", separator).text(path)
+def write_frames(pieces: DataFrame, column: str, path: str, separator: str, per_file: int) -> None:
+    """The binary column is written as it is, row after row, `per_file` rows to a file. File names are in the order of
+    partitions and, within one, of rows."""
+    pieces.select(F.col(column).cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file; a file is one row, so it has to be written in bounded size."""
+    """(path, content) of every file; a file is one row, which is why `write_frames` bounds it."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

@@ -37,6 +37,7 @@ SCALE = 18
 LANES = 32
 BLOCK = 1 << 15
 SEGMENT = 1 << 22
+FILE_IDS = 8 * SEGMENT  # ids of a file, and one transcript more
 LOW = np.uint64(1 << 31)
 END_ID = 0
 
@@ -279,10 +280,10 @@ def _tokenizer(path: str) -> ChunkTokenizer:
 # ---------------------------------------------------------------- tables
 
 def write_token_files(transcripts: DataFrame, path: str, tokenizer: str, transcript_id: str = "transcript_id",
-                      full_text: str = "full_text", segment: int = SEGMENT) -> None:
+                      full_text: str = "full_text", segment: int = SEGMENT, file_ids: int = FILE_IDS) -> None:
     """The ids of all transcripts in ascending order of their id (nulls first), each closed by END_ID.
 
-    One file per range of ids, in the order of the file names. A null text is empty. Rows that share an
+    Files hold ranges of ids, in the order of their names, and are closed behind a transcript once they have `file_ids` ids. A null text is empty. Rows that share an
     id follow each other in the order of their text. Other columns are ignored. A transcript longer than a
     segment goes on in the next one.
     """
@@ -290,15 +291,21 @@ def write_token_files(transcripts: DataFrame, path: str, tokenizer: str, transcr
     rows = rows.repartitionByRange("transcript_id", F.xxhash64("full_text")).sortWithinPartitions("transcript_id", "full_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, size = _tokenizer(tokenizer), [], 0
+        coder, held, size, segments, filed = _tokenizer(tokenizer), [], 0, [], 0
 
         def flush():
             nonlocal held, size
             names, data, first = zip(*held)
-            ids = np.concatenate(data)
-            piece = pack_segment(list(names), [len(d) for d in data], list(first), ids)
+            segments.append(pack_segment(list(names), [len(d) for d in data], list(first), np.concatenate(data)))
             held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], ["piece"])
+
+        def file():
+            nonlocal segments, filed
+            if held:
+                flush()
+            whole = pa.RecordBatch.from_arrays([pa.array([b"\n".join(segments)], pa.binary())], ["piece"])
+            segments, filed = [], 0
+            return whole
 
         for b in batches:
             rows_of = [(None if name is None else str(name).encode(), text or "") for name, text in arrow_rows(b, "transcript_id", "full_text")]
@@ -309,14 +316,16 @@ def write_token_files(transcripts: DataFrame, path: str, tokenizer: str, transcr
                     while len(ids):
                         take = ids[:segment - size]
                         held.append((name, take, first))
-                        size, ids, first = size + len(take), ids[len(take):], False
+                        size, filed, ids, first = size + len(take), filed + len(take), ids[len(take):], False
                         if size >= segment:
-                            yield flush()
-        if held:
-            yield flush()
+                            flush()
+                    if filed >= file_ids:
+                        yield file()
+        if held or segments:
+            yield file()
         coder.rest()
 
-    write_frames(rows.mapInArrow(run, "piece binary"), "piece", path, "\n")
+    write_frames(rows.mapInArrow(run, "piece binary"), "piece", path, "\n", 1)
 
 
 def read_token_files(spark, path: str, id_type: str = "bigint") -> DataFrame:

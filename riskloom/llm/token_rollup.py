@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.texts import only
+from riskloom.snapshots import Change, SnapshotStore
 
 KEYS = ("transcription_model", "detected_language", "tokenizer_version")
 ROW = ("transcript_id", *KEYS)
@@ -25,18 +24,17 @@ class TokenTotals:
     once; of different ones for a transcript and version the one with the most tokens counts. Rows
     with a null id or op are left out; null keys are kept as they are; null counts are 0.
 
-    Every batch has a number and is written to partitions of its own: committing it again, after a
-    failure or by mistake, replaces them by the same rows. Batches are committed in rising order.
+    Every batch has a number. Its rows of ledger and totals are written apart and published together, so a reader
+    sees all of a batch or nothing; committing it again, after a failure or by mistake, replaces them by the same
+    rows. Batches are committed in rising order.
     """
 
     def __init__(self, folder: str):
-        self.ledger, self.deltas = os.path.join(folder, "ledger"), os.path.join(folder, "deltas")
+        self.folder = folder
 
-    def _read(self, spark, path: str) -> DataFrame | None:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return spark.read.parquet(path)
+    def _rows(self, store: SnapshotStore, table: str, below: int | None = None) -> DataFrame | None:
+        parts = [p for p in store.state().parts(table) if below is None or int(p.key) < below]
+        return store.spark.read.parquet(*[f"{store.root}/{p.folder}" for p in parts]) if parts else None
 
     def commit(self, batch: int, changes: DataFrame, transcript_id: str = "transcript_id", op: str = "op",
                transcription_model: str = "transcription_model", detected_language: str = "detected_language",
@@ -50,29 +48,23 @@ class TokenTotals:
                         F.struct(F.col("op") != "delete", "n_tokens", "transcription_model", "detected_language"))
         rows = rows.groupBy("transcript_id", "tokenizer_version").agg(F.bool_or(F.col("op") != "delete").alias("stays"), best.alias("new"))
         added = rows.filter("stays").select("transcript_id", "tokenizer_version", "new.*", F.lit(1).cast("bigint").alias("documents"))
-        booked = self._read(spark, self.ledger)
-        signed = added
-        if booked is not None:
-            earlier = booked.filter(F.col("batch") < batch)
+        store = SnapshotStore(spark, self.folder)
+        earlier, signed = self._rows(store, "ledger", batch), added
+        if earlier is not None:
             held = earlier.groupBy(*ROW).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")).filter(
                 "documents != 0 OR n_tokens != 0")
             gone = held.join(rows.select(F.col("transcript_id").alias("_i"), F.col("tokenizer_version").alias("_v")),
                              F.col("transcript_id").eqNullSafe(F.col("_i")) & F.col("tokenizer_version").eqNullSafe(F.col("_v")), "left_semi")
             signed = added.unionByName(gone.withColumns({"documents": -F.col("documents"), "n_tokens": -F.col("n_tokens")}))
-        self._write(signed.select(*ROW, "documents", "n_tokens"), self.ledger, batch)
-        own = spark.read.parquet(os.path.join(self.ledger, f"batch={batch}"))
-        self._write(own.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")), self.deltas, batch)
-
-    @staticmethod
-    def _write(rows: DataFrame, path: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch}"))
+        ledger = store.write_part("ledger", signed.select(*ROW, "documents", "n_tokens"), str(batch))
+        own = spark.read.parquet(f"{store.root}/{ledger.folder}")
+        deltas = store.write_part("deltas", own.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")), str(batch))
+        store.commit(lambda state: [Change("ledger", ledger), Change("deltas", deltas)])
 
     def totals(self, spark, upto: int | None = None) -> DataFrame:
         """KEYS, documents, n_tokens after the given batch (or all); groups without documents are left out."""
-        deltas = self._read(spark, self.deltas)
+        deltas = self._rows(SnapshotStore(spark, self.folder), "deltas", None if upto is None else upto + 1)
         if deltas is None:
             return spark.createDataFrame([], "transcription_model string, detected_language string, tokenizer_version string, "
                                              "documents bigint, n_tokens bigint")
-        if upto is not None:
-            deltas = deltas.filter(F.col("batch") <= upto)
         return deltas.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")).filter("documents != 0")

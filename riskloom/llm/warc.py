@@ -40,6 +40,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 16 << 10         # of each of them
 LEVEL = 3
 STEP = 16 << 10
+FILE_BYTES = 64 << 20           # of an archive, and one record more
 
 
 class ArchiveError(ValueError):
@@ -153,8 +154,8 @@ def read_archive(content: bytes) -> Iterator[dict]:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-                   smallest_revisit: int = 0) -> None:
-    """One record per page, one archive per partition of the scan.
+                   smallest_revisit: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """One record per page, archives of bounded size, each with the dictionary in front.
 
     Of records with equal bodies of at least `smallest_revisit` bytes, those with the smallest page_id
     are responses and the others revisits of it; smaller ones are all responses. A null body is empty.
@@ -180,16 +181,21 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         if held is not None:
             held.precompute_compress(level=LEVEL)       # digested once per task instead of once per record
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=True)
-        lead = [skippable(dictionary)]
+        lead, gap = skippable(dictionary), EMPTY_FRAME.encode("latin-1")
+        made, size = [lead], 0
         for b in batches:
-            made = []
             for page, address, text, refers in arrow_rows(b, "page_id", "url", "html", "refers_to"):
                 data = (text or "").encode("utf-8", "replace")
                 made.append(packer.compress(record(page, address, data, base32_sha1(data), refers, refers is not None)))
-            yield pa.RecordBatch.from_arrays([pa.array(lead + made, pa.binary())], ["piece"])
-            lead = []
-
-    write_frames(marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "piece binary"), "piece", path, EMPTY_FRAME)
+                size += len(made[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([gap.join(made)], pa.binary())], ["piece"])
+                    made, size = [lead], 0
+        if len(made) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([gap.join(made)], pa.binary())], ["piece"])
+
+    # A row is an archive.
+    write_frames(marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "piece binary"), "piece", path, EMPTY_FRAME, 1)
 
 
 def read_archives(spark, path: str, id_type: str = "bigint") -> DataFrame:

@@ -56,11 +56,13 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert np.frombuffer(raw, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("segment", [codec.SEGMENT, 1000])
-def test_files_come_back_in_the_order_of_ids(spark, tmp_path, segment):
+@pytest.mark.parametrize("segment,file_ids", [(codec.SEGMENT, codec.FILE_IDS), (1000, codec.FILE_IDS), (1000, 1500), (100, 1)])
+def test_files_come_back_in_the_order_of_ids(spark, tmp_path, segment, file_ids):
     rows = odd_rows() + [(100 + i, f"nota {i} de la cuenta") for i in range(300)]
     path = str(tmp_path / "tokens")
-    codec.write_token_files(transcripts(spark, rows), path, PATH, segment=segment)
+    codec.write_token_files(transcripts(spark, rows), path, PATH, segment=segment, file_ids=file_ids)
+    files = codec.read_files(spark, path).count()
+    assert files >= {1: 200, 1500: 5}.get(file_ids, 1)
     got = codec.read_token_files(spark, path).orderBy("start").collect()
     tokenizer, start, expected = Tokenizer.from_file(PATH), 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):

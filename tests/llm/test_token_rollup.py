@@ -1,6 +1,7 @@
 import random
 
 from riskloom.llm.token_rollup import TokenTotals
+from riskloom.snapshots import SnapshotStore
 from tests.llm.helpers import with_clashes
 
 SCHEMA = "op string, transcript_id bigint, transcription_model string, detected_language string, tokenizer_version string, n_tokens bigint"
@@ -56,20 +57,20 @@ def test_batches_of_signed_changes(spark, tmp_path):
 def test_a_commit_that_broke_off_between_its_tables_is_repeated(spark, tmp_path, monkeypatch):
     ledger, rows = TokenTotals(str(tmp_path / "totals")), [("insert", 1, "m", "es", "v", 10), ("insert", 2, "m", "es", "v", 5)]
     ledger.commit(1, changes(spark, rows))
-    write, calls = TokenTotals._write, []
+    write = SnapshotStore.write_part
 
-    def breaking(table, path, batch):
-        calls.append(path)
-        if len(calls) == 2:
+    def breaking(self, table, rows, key=None):
+        if table == "deltas":
             raise RuntimeError("lost")
-        write(table, path, batch)
-    monkeypatch.setattr(TokenTotals, "_write", staticmethod(breaking))
+        return write(self, table, rows, key)
+    monkeypatch.setattr(SnapshotStore, "write_part", breaking)
     later = [("revise", 1, "m", "es", "v", 7), ("delete", 2, "m", "es", "v", None)]
     try:
         ledger.commit(2, changes(spark, later))
     except RuntimeError:
         pass
     assert totals(ledger, spark) == {("m", "es", "v"): (2, 15)}
+    monkeypatch.setattr(SnapshotStore, "write_part", write)
     ledger.commit(2, changes(spark, later))
     assert totals(ledger, spark) == {("m", "es", "v"): (1, 7)}
 

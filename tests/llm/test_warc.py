@@ -34,6 +34,18 @@ def test_records_come_back(spark, tmp_path):
     assert all(bytes(r.body) == (dict((k, h) for k, _, h in rows)[r.page_id] or "").encode() for r in got if r.record_type == "response")
 
 
+def test_archives_are_of_bounded_size_and_complete_in_themselves(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    rows = [(i, f"http://banco.example/{i}", PAGE.format(i * 7919)) for i in range(400)]
+    warc.write_archives(pages(spark, rows), path, file_bytes=4000)
+    files = [bytes(r.content) for r in warc.read_files(spark, path).collect()]
+    assert len(files) > 6
+    dictionary = {f[8:8 + int.from_bytes(f[4:8], "little")] for f in files}
+    assert len(dictionary) == 1 and all(f[:4] == warc.DICTIONARY_FRAME.to_bytes(4, "little") for f in files)
+    assert sorted(int(r["page_id"]) for f in files for r in warc.read_archive(f)) == list(range(400))
+    assert all(len(f) < 8 + len(dictionary.copy().pop()) + 4000 + 2000 for f in files)
+
+
 def test_small_bodies_are_all_responses(spark, tmp_path):
     path = str(tmp_path / "archives")
     warc.write_archives(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), path, smallest_revisit=3)
