@@ -30,6 +30,7 @@ WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 32, 4
 # Members and bytes compared at once in one bucket; larger buckets are compared block against block.
 BLOCK, BYTES = 512, 16 << 20
+COLUMNS = 4096          # shingles of one matrix product
 _rng = np.random.default_rng(42)
 _ADD, _TIMES = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
@@ -57,13 +58,28 @@ def bands_of(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in low.reshape(BANDS, ROWS)]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """At least SIMILARITY of the different shingles of both are in both."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: products of 0-1 matrices, over shingles that occur twice at least."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    repeated = times[place] > 1
+    owner, (_, place) = owner[repeated], np.unique(place[repeated], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        low, high = np.searchsorted(place, [start, start + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[low:high], place[low:high] - start] = 1
+        total += held @ held.T
+    return total.astype(np.int64)
+
+
+def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
+    """Which two of the sets have at least SIMILARITY of their different shingles in both."""
     up, down = SIMILARITY
-    if min(len(a), len(b)) * down < up * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * down >= up * (len(a) + len(b) - both)
+    both, sizes = common_counts(sets), np.array([len(x) for x in sets])
+    return both * down >= up * (sizes[:, None] + sizes - both)
 
 
 def majority(shingles: np.ndarray) -> int:
@@ -78,19 +94,17 @@ def majority(shingles: np.ndarray) -> int:
 def spanning(keys: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between similar members that join all groups that similarity joins, no more than are needed.
     Members of one root are joined already."""
-    left: dict[int, list[int]] = {}
-    for i, root in enumerate(roots):
-        left.setdefault(root, []).append(i)
-    found = []
-    while left:
-        _, front = left.popitem()
-        while front and left:
+    near, own, left, found = similar_pairs(sets), np.array(roots, np.int64), np.ones(len(keys), bool), []
+    while left.any():
+        front = np.flatnonzero(left & (own == own[left.argmax()])).tolist()
+        left[front] = False
+        while front and left.any():
             at = front.pop()
-            for root in list(left):
-                met = next((x for x in left[root] if similar(sets[at], sets[x])), None)
-                if met is not None:
-                    found.append((keys[at], keys[met]))
-                    front += left.pop(root)
+            while (met := np.flatnonzero(near[at] & left)).size:
+                found.append((keys[at], keys[met[0]]))
+                joined = np.flatnonzero(left & (own == own[met[0]]))
+                left[joined] = False
+                front += joined.tolist()
     return found
 
 

@@ -35,6 +35,19 @@ def planted(seed=4):
     return rows + [(900, None), (901, ""), (902, "uno dos"), (903, "Uno  dos")]
 
 
+def test_shared_shingles_are_counted_by_products(monkeypatch):
+    monkeypatch.setattr(shingles, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        base = rng.integers(0, 1 << 40, 60, np.uint64)
+        sets = [np.unique(np.concatenate([base[:rng.integers(1, 60)], rng.integers(0, 1 << 40, rng.integers(0, 15), np.uint64)])) for _ in range(rng.integers(1, 12))]
+        near = shingles.similar_pairs(sets)
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert near[i, j] == near[j, i] == (both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both))
+
+
 def test_members_of_one_root_are_not_compared():
     sets = [np.arange(n, n + 100, dtype=np.uint64) for n in (0, 1, 2, 500, 501)]
     assert shingles.spanning([1, 2, 3, 4, 5], [7, 7, 7, 7, 7], sets) == []
